@@ -16,5 +16,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), LIMIT_TOKENS)
 
 
-QUERIES = {"op5_token_counts": op5_token_counts}
+def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op6_rans_files import write_and_digest
+
+    return write_and_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+
+
+def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op7_packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
+
+
+QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op6_rans_token_files": op6_rans_token_files,
+    "op7_min_slack_packing": op7_min_slack_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
