@@ -10,6 +10,12 @@ from stepframe.llm.shared import read_table
 LIMIT_TOKENS = 4096
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op2_pii import find_pii
+
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stepframe.llm.op5_tokens import count_tokens
 
@@ -29,6 +35,7 @@ def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_spans": op2_pii_spans,
     "op5_token_counts": op5_token_counts,
     "op6_rans_token_files": op6_rans_token_files,
     "op7_min_slack_packing": op7_min_slack_packing,
