@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stepframe.llm.shared import read_table
 
 LIMIT_TOKENS = 4096
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op1_mtree import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stepframe.llm.op2_pii import find_pii
 
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op3_resharding import reshard
+
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(8))  # the uneven layout to leave: by source
+    return reshard(read_table(spark, sf_dir, "documents"), old, 8)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stepframe.llm.op5_tokens import count_tokens
 
@@ -35,9 +49,23 @@ def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mtree_top_k": op1_mtree_top_k,
     "op2_pii_spans": op2_pii_spans,
+    "op3_flow_resharding": op3_flow_resharding,
     "op5_token_counts": op5_token_counts,
     "op6_rans_token_files": op6_rans_token_files,
     "op7_min_slack_packing": op7_min_slack_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+        SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 10
+    """,
+}
