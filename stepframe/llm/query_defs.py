@@ -48,6 +48,12 @@ def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op8_jaccard_join import join_classes
+
+    return join_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mtree_top_k": op1_mtree_top_k,
     "op2_pii_spans": op2_pii_spans,
@@ -55,6 +61,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_rans_token_files": op6_rans_token_files,
     "op7_min_slack_packing": op7_min_slack_packing,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mtree_top_k": """
