@@ -54,6 +54,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op4_decontamination import find
+
+    return find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op9_quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mtree_top_k": op1_mtree_top_k,
     "op2_pii_spans": op2_pii_spans,
@@ -62,8 +74,22 @@ QUERIES = {
     "op6_rans_token_files": op6_rans_token_files,
     "op7_min_slack_packing": op7_min_slack_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op4_decontamination": op4_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
 }
+_WORDS = r"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = """
+    SELECT DISTINCT {key}, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s
+    FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)
+"""
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS ({_SHINGLES.format(key="doc_id", table="documents", words=_WORDS.format(text="text"))}),
+        b AS ({_SHINGLES.format(key="item_id", table="benchmark", words=_WORDS.format(text="text"))}),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_common
+        FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 4 * count(*) >= 3 * n_shingles
+    """,
     "op1_mtree_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
