@@ -280,3 +280,13 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     out = rows.select("doc_id", "n", "fp").join(found, "fp", "left")
     own = F.when(F.col("n") > 0, F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with the document of the least id of each class; rows equal in id and text stay once."""
+    found = stored(join_classes(docs, key, text), "classes")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates([key, text])
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    gone = _small_side(gone.withColumnRenamed("doc_id", "__copy_id"), gone.count())
+    return docs.join(gone, docs[key].cast("long") == gone["__copy_id"], "left_anti")

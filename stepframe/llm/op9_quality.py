@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or not at all on each document. How often each pattern of votes occurs, over all
+Heuristic labellers vote good, bad or not at all on each document; most of them know one kind of junk only. How often each pattern of votes occurs, over all
 documents, is all that expectation-maximisation needs to estimate how each labeller votes on good and on bad documents, and the
 posterior of each pattern (at most 3^labellers numbers on the driver). The posteriors label at most ``SAMPLE_DOCS``
 documents (the smallest hashes of the key), which train a linear scorer over hashed features: trigrams of character classes and how
@@ -24,13 +24,16 @@ SAMPLE_DOCS = 8_000
 HASHED = 1024
 RELATIONS = 64
 WIDTH = HASHED + RELATIONS + 1
-MARGIN = 0.0
+MARGIN = -1.5
+FEW = 60
 SLICE = 1000
 #: Frequent short words of the corpus' languages (fixed values).
 STOPWORDS = (
     "the of and to in a is that for it was with as on be at by this are or from der die und den von zu das mit sich des auf für ist im dem nicht ein eine "
     "le la les de et en un une du que est pour dans par sur el los las con por del se al y"
 ).split()
+#: The first BAD_ONLY can only tell bad documents and else don't vote.
+BAD_ONLY = 5
 LABELLERS = ("capitals", "symbols", "repeats", "variety", "pipes", "function_words", "full_stops")
 
 #: Letters and digits by class, other ASCII characters each its own.
@@ -73,10 +76,11 @@ def described(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         "full_stops": _sums((raw == 46) | (raw == 33), bounds) / count,
     }
     votes = np.full((n, len(LABELLERS)), -1, np.int8)
+    never = np.zeros(n, bool)
     for j, (name, bad, good) in enumerate([
-        ("capitals", lambda x: x > 0.4, lambda x: x < 0.15), ("symbols", lambda x: x > 0.1, lambda x: x < 0.03),
-        ("repeats", lambda x: x > 0.3, lambda x: x < 0.1), ("variety", lambda x: x < 0.3, lambda x: x > 0.5),
-        ("pipes", lambda x: x > 0.1, lambda x: x < 0.01), ("function_words", lambda x: (x < 0.03) & (n_words > 30), lambda x: x > 0.12),
+        ("capitals", lambda x: x > 0.4, lambda x: never), ("symbols", lambda x: x > 0.1, lambda x: never), ("repeats", lambda x: x > 0.3, lambda x: never),
+        ("variety", lambda x: x < 0.3, lambda x: never), ("pipes", lambda x: x > 0.1, lambda x: never),
+        ("function_words", lambda x: (x < 0.03) & (n_words > 30), lambda x: x > 0.12),
         ("full_stops", lambda x: (x > 1) | (x < 0.005) & (n_words > 60), lambda x: (x > 0.02) & (x < 0.3)),
     ]):
         votes[good(share[name]), j] = 1
@@ -98,12 +102,16 @@ def described(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pair[1:] += 8 * np.where(inner[1:], state[:-1], 0)
         features[:, HASHED : HASHED + RELATIONS] = np.bincount(word_doc * RELATIONS + pair, minlength=n * RELATIONS).reshape(n, RELATIONS)
     for part in (features[:, :HASHED], features[:, HASHED : HASHED + RELATIONS]):
-        part /= np.maximum(part.sum(1, keepdims=True), 1)
+        part /= part.sum(1, keepdims=True) + FEW  # few words tell little
         np.sqrt(part, out=part)
     features[:, -1] = 1
     return votes, features
 
 
+def wordless(features: np.ndarray) -> np.ndarray:
+    return ~features[:, HASHED : HASHED + RELATIONS].any(1)
+
+
 def _stop_hashes() -> np.ndarray:
     if "h" not in _STOP:
         _STOP["h"] = words(pa.array(STOPWORDS))[0]
@@ -132,7 +140,8 @@ def label_model(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple
     votes = np.array(list(patterns), int).reshape(-1, len(LABELLERS)) + 1
     n = np.array(list(patterns.values()), float)
     hot = np.eye(3)[votes]  # pattern, labeller, vote
-    table = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.2, 0.6]]), (len(LABELLERS), 1, 1))
+    table = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.1, 0.7]]), (len(LABELLERS), 1, 1))
+    table[:BAD_ONLY] = [[0.65, 0.34, 0.01], [0.97, 0.02, 0.01]]
     prior = 0.8
     good = np.full(len(n), prior)
     for _ in range(steps if len(n) else 0):
@@ -141,8 +150,7 @@ def label_model(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple
         weight = np.stack([n * (1 - good), n * good], 1)
         table = (np.einsum("pc,pjv->jcv", weight, hot) + 1) / (weight.sum(0)[None, :, None] + 3)
         prior = float(np.clip(weight[:, 1].sum() / n.sum(), 0.01, 0.99))
-    none = (-1,) * len(LABELLERS)
-    return {p: (0.0 if p == none else float(g)) for p, g in zip(patterns, good, strict=True)}, table
+    return {p: float(g) for p, g in zip(patterns, good, strict=True)}, table
 
 
 def fit_scorer(features: np.ndarray, good: np.ndarray, steps: int = 300, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
@@ -172,7 +180,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarra
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 votes, features = described(b.column(0).slice(at, SLICE))
-                p = [posterior.get(tuple(v), 0.0) for v in votes.tolist()]
+                p = np.where(wordless(features), 0.0, [posterior.get(tuple(v), 0.0) for v in votes.tolist()])
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([f.tobytes() for f in features], pa.binary())], ["good", "f"])
 
     held = rows.where(F.col("h") <= F.lit(cut)).select("text").limit(2 * SAMPLE_DOCS).mapInArrow(run, "good double, f binary").collect()
@@ -184,8 +192,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarra
 def _margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = [np.empty(0)]
     for at in range(0, len(texts), SLICE):
-        votes, features = described(texts.slice(at, SLICE))
-        out.append(np.where((votes == -1).all(1), -np.inf, features @ weights))
+        _, features = described(texts.slice(at, SLICE))
+        out.append(np.where(wordless(features), -np.inf, features @ weights))
     return np.concatenate(out)
 
 

@@ -66,6 +66,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepframe.llm.op10_wrappers import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mtree_top_k": op1_mtree_top_k,
     "op2_pii_spans": op2_pii_spans,
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_wrappers": op10_html_wrappers,
 }
 _WORDS = r"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _SHINGLES = """
@@ -92,9 +99,9 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op1_mtree_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
