@@ -42,7 +42,8 @@ def stand(spark: SparkSession, scene: str, models: Sequence[str], frequencies: S
     rows, per_row = layout_numbers(xrange, yrange, density, row_spacing)
     grid = spark.range(rows * per_row).select("id", F.floor(F.col("id") / per_row).alias("row"), (F.col("id") % per_row).alias("number"))
     placed = place_plants(grid, F.col("row"), F.col("number"), per_row, yrange, row_spacing, depth, None if exact else seed)
-    chosen = placed.withColumn("m", pick(F.rand(seed + 2) if len(models) > 1 else F.lit(1.0), frequencies))
+    drawn = placed.withColumn("u", 1.0 - F.rand(seed + 2) if len(models) > 1 else F.lit(1.0))  # drawn once for each plant, from (0, 1]
+    chosen = drawn.withColumn("m", pick(F.col("u"), frequencies))
     name = F.element_at(F.array(*map(F.lit, models)), F.col("m") + 1)
     return chosen.select(F.concat_ws("_", name, F.col("id").cast("string"), F.lit(scene)).alias("plant_id"), name.alias("model"), "x", "y", "z", "rotation")
 

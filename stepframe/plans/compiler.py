@@ -6,9 +6,11 @@ processes effects are sequential, inside one simultaneous: one ``withColumns`` e
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +33,16 @@ def as_column(value) -> Column:
 
 def by_row(process: Process, instance, columns: list[Column]) -> dict[str, Column]:
     """For bodies that need Python values: an Arrow-batched function, applied row by row."""
+    for owner in type(instance).__mro__:  # models are sent whole: executors needn't have their module
+        if owner is not object and owner.__module__.split(".")[0] != "stepframe":
+            register_pickle_by_value(sys.modules[owner.__module__])
     call: Callable = lambda *a: process.function(instance, *a)
     if not process.many:
         def one(*series: pd.Series) -> pd.Series:
             return pd.Series([None if any(pd.isna(x) for x in a) else float(call(*a)) for a in zip(*series, strict=True)], dtype="float64")
 
         return {process.name: F.pandas_udf(one, T.DoubleType())(*columns)}
-    names = [process.name, *process.function.__annotations__.get("outputs", ())] if "outputs" in process.function.__annotations__ else None
-    if names is None:
-        names = [process.name, *getattr(process.function, "outputs", ())]
+    names = [process.name, *getattr(process.function, "outputs", ())]
 
     def many(*series: pd.Series) -> pd.DataFrame:
         rows = [call(*a) for a in zip(*series, strict=True)]
