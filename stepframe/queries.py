@@ -6,13 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepframe.functions.numerics import minimum, temperature_modification, where
 from stepframe.models import TRANSLATOR, Carbon, Nitrogen, SoilModel
 from stepframe.operators import keyed, scene
 from stepframe.operators.component import Component, focus_filter
-from stepframe.operators.coupling import Composite, edge_table, inputs_outputs
+from stepframe.operators.coupling import Composite, couple, edge_table, inputs_outputs
 from stepframe.operators.forcing import apply_tables
 from stepframe.plans import schedule
 from stepframe.plans.catalog import catalog, declare, documented, select
@@ -288,16 +289,79 @@ def windowed_forcing(spark, sf_dir):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", F.round("v", 4).alias("v"))
 
 
+def total_by_plant(spark, sf_dir):
+    df = vertices(spark, sf_dir).withColumns({"plant": F.col("label"), "vid": F.row_number().over(W.partitionBy("label").orderBy("vid")).cast("long")})
+    c = Sums()
+    c.plant = "plant"
+    return c.step(c.link(df)).where("vid = 1").select("plant", F.round("total_mass", 4).alias("total_mass"))
+
+
+def scene_loop(spark, sf_dir):
+    plants = vertices(spark, sf_dir).select("vid", F.col("label").alias("voxel"), F.greatest("struct_mass", F.lit(0.0)).alias("uptake")).withColumn("water", F.lit(0.0))
+    soil = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("voxel"), F.lit(1e6).alias("water"), F.lit(0.0).alias("asked"))
+    dry = lambda s, t: s.withColumn("water", F.col("water") - F.col("asked"))
+    end, _ = scene.play(plants, soil, lambda df, t: df, dry, "voxel", {"asked": "uptake"}, ["water"], steps=2)
+    return end.select("vid", F.round("water", 4).alias("water"))
+
+
+@dataclass(init=False)
+class Mirror(Component):
+    copied: float = _var("input")
+    doubled: float = _var()
+
+    @state
+    def _copied(self, copied):
+        return copied + 1
+
+    @state
+    def _doubled(self, copied):
+        return copied * 2
+
+
+def alias_coupling(spark, sf_dir):
+    """A write through an alias is a write to the column it stands for, and later processes see it."""
+    c = Mirror()
+    couple(c, "Mirror", ["Bank"], {"Mirror": {"Bank": {"copied": {"balance": 1.0}}}})
+    df = _suppliers(spark, sf_dir).withColumn("doubled", F.lit(0.0))
+    return c.step(df).select("vid", "balance", "doubled")
+
+
+def coupled_conversion(spark, sf_dir):
+    c = Mirror()
+    couple(c, "Mirror", ["Bank"], {"Mirror": {"Bank": {"copied": {"balance": "1/12", "nation": "2*3"}}}})
+    return c.pull(_suppliers(spark, sf_dir)).select("vid", F.round("copied", 8).alias("copied"))
+
+
+def component_outputs(spark, sf_dir):
+    _, outs = inputs_outputs(edge_table(spark, TRANSLATOR), "Carbon")
+    return outs.select(F.col("name").alias("source_var"))
+
+
+def keyed_items(spark, sf_dir):
+    """Set default, pop and overwrite on one keyed column."""
+    df = _column(spark, sf_dir).where("vid < 50")
+    df = keyed.set_default(keyed.set_default(df, 7, -5.0), 700, -5.0)
+    return keyed.set_item(keyed.pop(df, 3)[1], 5, 55.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "focus_filter": focus_query, "rate_masked": rate_masked, "deficit_where": deficit_where, "euler_state": euler_state, "multi_output": multi_output, "total_state": total_state,
     "pull_weighted": pull_weighted, "link_default_fill": link_default_fill, "forcing_vertex1": forcing_vertex1, "forcing_fill": forcing_fill,
     "temperature_response": temperature_response, "substep2": substep2, "index_of": index_of, "upsert": upsert, "scatter": scatter, "delete_keys": delete_keys,
     "assign_at": assign_at, "aligned_columns": aligned_columns, "check_invariant": check_invariant, "stand_layout": stand_layout, "model_pick": model_pick,
     "exchange": exchange, "component_io": component_io, "schedule": schedule_order, "time_loop": time_loop, "affinity": affinity,
+    "total_by_plant": total_by_plant, "scene_loop": scene_loop, "alias_coupling": alias_coupling, "coupled_conversion": coupled_conversion,
+    "component_outputs": component_outputs, "keyed_items": keyed_items,
     "catalog_selectors": catalog_selectors, "documentation_lines": documentation_lines, "columnised": columnised, "windowed_forcing": windowed_forcing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "total_by_plant": "SELECT c_nationkey AS plant, round(sum(c_acctbal), 4) AS total_mass FROM customer GROUP BY c_nationkey",
+    "scene_loop": "WITH d AS (SELECT c_nationkey AS voxel, sum(greatest(c_acctbal, 0E0)) AS asked FROM customer GROUP BY 1) SELECT c_custkey AS vid, round(1E6 - 2 * asked, 4) AS water FROM customer JOIN d ON c_nationkey = voxel",
+    "alias_coupling": "SELECT s_suppkey AS vid, s_acctbal + 1 AS balance, (s_acctbal + 1) * 2 AS doubled FROM supplier",
+    "coupled_conversion": "SELECT s_suppkey AS vid, round(s_acctbal * (1E0/12E0) + s_nationkey * 6E0, 8) AS copied FROM supplier",
+    "component_outputs": "SELECT * FROM (VALUES ('hexose'), ('hexose_exudation')) AS t(source_var)",
+    "keyed_items": "SELECT c_custkey AS vid, CASE WHEN c_custkey = 5 THEN 55E0 ELSE c_acctbal END AS v FROM customer WHERE c_custkey < 50 AND c_custkey <> 3 UNION ALL SELECT CAST(700 AS BIGINT), -5E0",
     "focus_filter": f"SELECT c_custkey AS vid FROM customer WHERE {_FOCUS}",
     "rate_masked": f"SELECT c_custkey AS vid, CASE WHEN {_FOCUS} THEN 0.1E0*c_acctbal+1E0 ELSE 0E0 END AS exudation FROM customer",
     "deficit_where": f"SELECT c_custkey AS vid, CASE WHEN {_FOCUS} AND c_acctbal < 5E3 THEN 5E3 - c_acctbal ELSE 0E0 END AS shortage FROM customer",
