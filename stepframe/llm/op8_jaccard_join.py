@@ -3,14 +3,14 @@
 Rows of the matrix are distinct sets (documents with equal sets are one row), columns are shingles, dealt into blocks by
 hash. Of each set only the columns that a match can't avoid go into the product: with a threshold of 3/4, two sets that match
 share one of the first n - ceil(3n/4) + 1 columns of each in any common order. The order puts columns with high counts
-over all documents last (counts in 2^SKETCH_BITS buckets, a bounded array), so common passages rarely count. In
-a block, all pairs of a column of up to ``SMALL`` rows add to their overlap; a larger column links its rows to its
+over all documents last (counts in 2^SKETCH_BITS buckets, a bounded array), and after a first pass also those that still
+have more than SMALL rows, so common passages count only in documents that hold little else. In a block, all pairs of a column of up to ``SMALL`` rows add to their overlap; a larger column links its rows to its
 ``HUBS`` most connected rows only. Pairs are discarded by size (4 min < 3 max) and where the overlaps, with what can lie
 in the remaining columns, stay below 3/7 of the summed sizes; the rest are checked on their whole sets. Of large columns
-all rows that the links found so far leave in different classes are paired then and checked too, so no link between
-classes is lost; pairs inside a class are not needed. Links to classes are components by star contraction.
+all rows that the links found so far leave in different classes are paired then, held against the same bound and
+checked too, so no link between classes is lost; pairs inside a class are not needed. Links to classes are components by star contraction.
 
-Documents without words are empty: linked with nothing, not even each other. Null texts are empty. Repeated rows are rows of
+Documents without words are empty: linked with nothing, not even each other. Null texts are empty; documents without an id are in no class. Repeated rows are rows of
 their own; an empty table gives no rows; extra columns are not read. Hashes have 64 bits; sets count as equal when
 size, sum and exclusive-or of their hashes agree.
 """
@@ -80,50 +80,60 @@ def prefix_length(n: np.ndarray | int):
     return n - (3 * n + 3) // 4 + 1
 
 
+def _described(found, order: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Sizes, fingerprints and the columns that count of sets."""
+    n, fp, held = [], [], []
+    for s in found:
+        n.append(len(s))
+        fp.append(fingerprint(s))
+        first = np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+        held.append(s[first[: prefix_length(len(s))]].tobytes() if len(s) else b"")
+    return n, fp, held
+
+
 def incidence(docs: DataFrame, counts) -> DataFrame:
     """doc_id, n, fp and the columns that count (binary) of each document."""
 
     def run(batches):
-        order = counts.value
         for b, found in _slices(batches, 1):
-            n, fp, held = [], [], []
-            for s in found:
-                n.append(len(s))
-                fp.append(fingerprint(s))
-                first = np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                held.append(s[first[: prefix_length(len(s))]].tobytes() if len(s) else b"")
+            n, fp, held = _described(found, counts.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "n", "fp", "columns"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, columns binary")
 
 
+_BLOCK = "block int, fps binary, ns binary, at binary, columns binary"
+
+
+def _block_rows(fps: list[int], ns: list[int], held: list[bytes], blocks: int) -> pa.RecordBatch:
+    """Entries of distinct rows by block of columns."""
+    once = {fp: (n, c) for fp, n, c in zip(fps, ns, held, strict=True) if n}
+    out = []
+    if once:
+        fps, ns = np.array(list(once), np.int64), np.array([n for n, _ in once.values()], np.int64)
+        columns = np.frombuffer(b"".join(c for _, c in once.values()), np.uint64)
+        at = np.repeat(np.arange(len(fps), dtype=np.int32), [len(c) // 8 for _, c in once.values()])
+        block = (columns % np.uint64(blocks)).astype(np.int64)
+        turn = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[turn], np.arange(blocks + 1))
+        for k in range(blocks):
+            own = turn[cuts[k] : cuts[k + 1]]
+            if len(own):
+                used, local = np.unique(at[own], return_inverse=True)
+                out.append((k, fps[used].tobytes(), ns[used].tobytes(), local.astype(np.int32).tobytes(), columns[own].tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    cols = zip(*out, strict=True) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "fps", "ns", "at", "columns"])
+
+
 def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     """block, fps, ns, at, columns: the entries of each batch of rows by block of columns."""
 
     def run(batches):
         for b in batches:
-            once = {}
-            for fp, n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if n:
-                    once.setdefault(fp, (n, c))
-            if not once:
-                continue
-            fps, ns = np.array(list(once), np.int64), np.array([n for n, _ in once.values()], np.int64)
-            columns = np.frombuffer(b"".join(c for _, c in once.values()), np.uint64)
-            at = np.repeat(np.arange(len(fps), dtype=np.int32), [len(c) // 8 for _, c in once.values()])
-            block = (columns % np.uint64(blocks)).astype(np.int64)
-            turn = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[turn], np.arange(blocks + 1))
-            out = []
-            for k in range(blocks):
-                own = turn[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    used, local = np.unique(at[own], return_inverse=True)
-                    out.append((k, fps[used].tobytes(), ns[used].tobytes(), local.astype(np.int32).tobytes(), columns[own].tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "fps", "ns", "at", "columns"])
-
-    return rows.select("fp", "n", "columns").mapInArrow(run, "block int, fps binary, ns binary, at binary, columns binary")
+            yield _block_rows(*(b.column(i).to_pylist() for i in range(3)), blocks)
+
+    return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _BLOCK)
 
 
 _PRODUCT = "kind int, a long, b long, na long, nb long, c long"
@@ -190,20 +200,37 @@ def product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def crowded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Buckets of a block's columns that hold more than SMALL rows."""
+    _, _, columns, _ = _gathered(pdf)
+    found, n = np.unique(columns, return_counts=True)
+    return pd.DataFrame({"bucket": np.unique(found[n > SMALL] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)})
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of rows of one column whose classes differ, where sizes allow a match."""
-    pdf = pdf.sort_values(["nb", "b"])
-    names, sizes, labels = pdf["b"].to_numpy(), pdf["nb"].to_numpy(), pdf["label"].to_numpy()
+    """Of the columns with one anchor, the overlaps of pairs of rows whose classes differ and whose sizes allow a match."""
+    names, first = np.unique(pdf["b"].to_numpy(), return_index=True)
+    sizes, labels = pdf["nb"].to_numpy()[first], pdf["label"].to_numpy()[first]
+    rank = np.lexsort((names, sizes))
+    names, sizes, labels = names[rank], sizes[rank], labels[rank]
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    row = place[np.searchsorted(np.sort(names), pdf["b"].to_numpy())]
+    _, column = np.unique(pdf["column"].to_numpy(), return_inverse=True)
+    held = np.zeros((column.max() + 1, len(names)), bool)
+    held[column, row] = True
     ends = np.searchsorted(sizes, sizes * 4 // 3, "right")
     out = []
     for i in range(len(names) - 1):
         j = np.arange(i + 1, ends[i])
         j = j[labels[j] != labels[i]]
         if len(j):
+            c = held[held[:, i]][:, j].sum(0)
+            j, c = j[c > 0], c[c > 0]
             x, y = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
             flip = names[i] > names[j]
-            out.append(pd.DataFrame({"a": x, "b": y, "na": np.where(flip, sizes[j], sizes[i]), "nb": np.where(flip, sizes[i], sizes[j])}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "na", "nb")})
+            out.append(pd.DataFrame({"a": x, "b": y, "na": np.where(flip, sizes[j], sizes[i]), "nb": np.where(flip, sizes[i], sizes[j]), "c": c}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "na", "nb", "c")})
 
 
 def _small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -243,11 +270,15 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(column_counts(docs))  # 4 bytes x 2^SKETCH_BITS
+    sketch = column_counts(docs)
+    blocks = int(min(100_000, max(64, int(sketch.sum(dtype=np.int64)) // (4 * BLOCK_ENTRIES))))
+    counts = spark.sparkContext.broadcast(sketch)  # 4 bytes x 2^SKETCH_BITS
+    full = in_blocks(incidence(docs, counts), blocks).groupBy("block").applyInPandas(crowded, "bucket long").distinct()
+    for r in full.toLocalIterator():  # at most 2^SKETCH_BITS buckets
+        sketch[r.bucket] |= np.uint32(1 << 31)  # crowded columns go last
+    counts = spark.sparkContext.broadcast(sketch)
     rows = stored(incidence(docs, counts), "incidence")
-    entries = rows.agg(F.sum(F.octet_length("columns"))).first()[0] or 0
-    blocks = int(min(100_000, max(64, entries // (8 * BLOCK_ENTRIES))))
-    classes = stored(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "set-classes")
+    classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "set-classes")
 
     parts = stored(in_blocks(rows, blocks).groupBy("block").applyInPandas(product, _PRODUCT), "product")
     pairs = parts.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
@@ -257,18 +288,21 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         more = _small_side(wide.select(F.col("fp").alias(side), F.col("w").alias(f"w{side}")), n_wide)
         pairs = pairs.join(more, side, "left").fillna(0, [f"w{side}"])
     rest = lambda n: F.expr(f"floor((3 * {n} + 3) / 4) - 1")
-    bound = F.col("c") + F.least("wa", "wb") + F.greatest(rest("na"), rest("nb"))
-    candidates = stored(pairs.where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "candidates")
+    most = F.greatest(rest("na"), rest("nb"))
+    pairs = stored(pairs, "overlaps")
+    candidates = stored(pairs.where(7 * (F.col("c") + F.least("wa", "wb") + most) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), "candidates")
     links = verified(candidates, docs, classes)
     labels = stored(components(links), "labels")
 
     large = parts.where("kind = 2").select("a", "b", "nb")
     if n_wide:
         known = _small_side(labels.withColumnRenamed("node", "b"), labels.count())
-        marked = large.withColumnRenamed("a", "column").join(known, "b", "left").withColumn("label", F.coalesce("label", "b"))
-        mixed_ = marked.groupBy("column").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("column")
-        again = marked.join(mixed_, "column").groupBy("column").applyInPandas(_across, "a long, b long, na long, nb long").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-        again = stored(again.join(candidates.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+        marked = stored(large.withColumnRenamed("a", "column").join(known, "b", "left").withColumn("label", F.coalesce("label", "b")), "large-columns")
+        anchors = marked.groupBy("column").agg((F.min("label") != F.max("label")).alias("open"), F.min("b").alias("anchor")).where("open").select("column", "anchor")
+        across = marked.join(anchors, "column").groupBy("anchor").applyInPandas(_across, "a long, b long, na long, nb long, c long")
+        again = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("large"))
+        again = again.join(pairs.select("a", "b", "c"), ["a", "b"], "left").where(7 * (F.coalesce("c", F.lit(0)) + F.col("large") + most) >= 3 * (F.col("na") + F.col("nb")))
+        again = stored(again.select("a", "b").join(candidates, ["a", "b"], "left_anti"), "candidates")
         if again.limit(1).count():
             links = links.unionByName(verified(again, docs, classes))
             labels = stored(components(links), "labels")
@@ -278,7 +312,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     found = stored(linked.join(least, "label").select("fp", "component_id"), "class-components")
     found = _small_side(found, found.count())
     out = rows.select("doc_id", "n", "fp").join(found, "fp", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id"))
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
 
 

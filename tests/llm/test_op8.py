@@ -65,6 +65,11 @@ def test_matches_brute_force(spark, monkeypatch, seed, small):
     rows = [(3 * i + 1, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n long")
     assert sorted(tuple(r) for r in op8.join_classes(df.repartition(3)).collect()) == brute(rows)
+    if seed == 0:
+        more = df.unionByName(spark.createDataFrame([(None, rows[-1][1], 0), (None, None, 0)], df.schema))
+        got = [tuple(r) for r in op8.join_classes(more).collect()]
+        assert sorted(r for r in got if r[0] is not None) == brute(rows) and sum(r[0] is None and r[2] is None for r in got) == 2
+        assert op8.one_of_each(more).columns == df.columns
 
 
 def test_empty_table(spark):
