@@ -86,10 +86,27 @@ QUERIES = {
 }
 _WORDS = r"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _SHINGLES = """
-    SELECT DISTINCT {key}, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s
+    SELECT DISTINCT {key}, array_to_string(w[i : i + 4], ' ') AS s
     FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)
 """
 ORACLE_SQL: dict[str, str] = {
+    "op10_html_wrappers": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
+        e AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM t),
+        f AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(h, '&amp( |$)', '&\1', 'g'), '\s+', ' ', 'g')) AS text FROM e)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM f
+    """,
+    "op8_jaccard_join": f"""
+        WITH RECURSIVE s AS MATERIALIZED ({_SHINGLES.format(key="doc_id", table="documents", words=_WORDS.format(text="text"))}),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (
+            SELECT o.a, o.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) o
+            JOIN n na ON na.doc_id = o.a JOIN n nb ON nb.doc_id = o.b WHERE 100 * o.c >= 75 * (na.n + nb.n - o.c)
+        ),
+        r(doc_id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.b, r.label FROM r JOIN p ON p.a = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.label) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+    """,
     "op4_decontamination": f"""
         WITH d AS ({_SHINGLES.format(key="doc_id", table="documents", words=_WORDS.format(text="text"))}),
         b AS ({_SHINGLES.format(key="item_id", table="benchmark", words=_WORDS.format(text="text"))}),
