@@ -11,7 +11,7 @@ the pages of all pivots whose ball can still hold a score as high. In a page, no
 are passed over without computing a distance where stored parent distances already exclude them. Bounds have
 a relative slack and ties are never excluded; scores are whole numbers.
 
-Vectors null, or holding null or non-finite components, take no part; shorter ones are filled with zeros; scaled components
+Vectors null, without an id, or holding null or non-finite components, take no part; shorter ones are filled with zeros; scaled components
 are held within +-2^30. Ties go to the smaller id; repeated ids are separate rows, of which a query excludes its own id.
 An empty table gives no rows. Extra columns are not read.
 """
@@ -41,7 +41,7 @@ def scaled(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
     """vec_id, v (binary of int64), norm, dims for the vectors that take part."""
     ship(vectors.sparkSession)
     kind = "array<double>"
-    good = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast(kind).alias("e")).where(good)
 
     def run(batches):

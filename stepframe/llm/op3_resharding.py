@@ -7,7 +7,7 @@ the few blocks that a flow ends in are dealt out document by document, longest f
 files are then rewritten: the rows are shuffled once by (shard, old shard, block) and written by shard, each with its
 slot, from the block's first slot and its rank in the block, so no task holds a whole shard.
 
-Size is the UTF-8 bytes of the text plus 1 (null text: 1, checksum 0). Rows equal in key, size and checksum are placed
+Size is the UTF-8 bytes of the text plus 1 (null text: 1, checksum 0); a null key is a key like others. Rows equal in key, size and checksum are placed
 together; slots order rows by old shard, block, key and checksum. An empty table gives no rows. Extra columns are
 not read. Equal texts have no rule of their own here: each document is an item.
 """
@@ -110,6 +110,7 @@ def assign(docs: DataFrame, old: Column, shards: int, key: str = "doc_id", text:
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         rooms = [list(x) for x in parted[int(pdf["old"].iloc[0]), int(pdf["block"].iloc[0])]]
         pdf = pdf.assign(weight=pdf["size"] * pdf["n"]).sort_values(["weight", "doc_id", "text_crc32"], ascending=[False, True, True])
+        pdf = pdf.astype({"doc_id": "Int64"})
         out = []
         for weight in pdf["weight"]:
             best = next((x for x in rooms if x[1] >= weight), None) or max(rooms, key=lambda x: x[1])
@@ -120,8 +121,8 @@ def assign(docs: DataFrame, old: Column, shards: int, key: str = "doc_id", text:
     split = placed.where("shard < 0")
     dealt = split.groupBy("old", "block", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).groupBy("old", "block").applyInPandas(deal, "old int, block int, doc_id long, size long, text_crc32 long, n long, dealt int")
     counts |= {(r.dealt, r.old, r.block): r.n for r in dealt.groupBy("dealt", "old", "block").agg(F.sum("n").alias("n")).collect()}
-    keys = ["old", "block", "doc_id", "size", "text_crc32"]
-    parted_rows = split.join(dealt.drop("n"), keys).withColumn("shard", F.col("dealt")).drop("dealt")
+    found = dealt.drop("n").withColumnRenamed("doc_id", "dealt_id")
+    parted_rows = split.join(found, ["old", "block", "size", "text_crc32"]).where(F.col("doc_id").eqNullSafe(F.col("dealt_id"))).withColumn("shard", F.col("dealt")).drop("dealt", "dealt_id")
     both = placed.where("shard >= 0").unionByName(parted_rows)
 
     first, taken = [], defaultdict(int)

@@ -9,7 +9,7 @@ from stepframe.llm.op1_mtree import MTree, top_k
 
 def brute(rows, k, every):
     held = {}
-    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)]
     for q, v in good:
         if q % every == 0:
             s = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q)
@@ -31,7 +31,7 @@ def test_matches_brute_force(spark, seed):
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.2).astype(np.float32).tolist()) for i in range(3000)]
     rows += [(i, rows[0][1]) for i in range(3000, 3900)]  # one common vector: many ties
-    rows += [(4000, None), (4010, [None] * 8), (4020, [float("nan")] + [0.0] * 7), (4030, [float("inf")] * 8), (4040, [1.0]), (4050, []), (4060, [0.0] * 8)]
+    rows += [(4000, None), (4010, [None] * 8), (4020, [float("nan")] + [0.0] * 7), (4030, [float("inf")] * 8), (4040, [1.0]), (4050, []), (4060, [0.0] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     assert got(top_k(df, 5, 10)) == brute(rows, 5, 10)
 

@@ -20,7 +20,7 @@ def test_flow_reroutes():
 def test_shards(spark):
     texts = [None, "", "é" * 50, *["same text"] * 300, *[("w%d " % i) * (i % 37) for i in range(900)], "long " * 9000]
     rows = [(i, t, f"src{i % 3 if i < 400 else 0}", 7) for i, t in enumerate(texts)]
-    rows.append(rows[5])
+    rows += [rows[5], (None, "no key", "src0", 7), (None, None, "src1", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
     old = F.pmod(F.crc32("source"), F.lit(8))
     out = reshard(docs, old, 8).collect()
