@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from stepframe.llm.shared import shared_path
 
 BLOCKS = 256
+#: Rows that a block should have: a flow that ends in one is met to about the size of its smallest documents.
+BLOCK_ROWS = 128
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -96,14 +98,20 @@ def assign(docs: DataFrame, old: Column, shards: int, key: str = "doc_id", text:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("old", "block").collect()
     olds = max([shards, *(r.old + 1 for r in sums)])
-    blocks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    joined = min(BLOCKS, -(-len(sums) * BLOCK_ROWS // max(1, sum(r.n for r in sums))))  # few rows: fewer blocks
+    held: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
     for r in sums:
-        blocks[r.old].append((r.block, r.size))
+        held[r.old, r.block // joined][0] += r.size
+        held[r.old, r.block // joined][1] += r.n
+    rows = rows.withColumn("block", F.floor(F.col("block") / joined).cast("int"))
+    blocks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (o, b), (size, _) in held.items():
+        blocks[o].append((b, size))
     supply = [sum(s for _, s in blocks.get(i, [])) for i in range(olds)]
     flow = min_cost_flow(supply, even(sum(supply), shards), [[int(i != j) for j in range(shards)] for i in range(olds)])
     whole, parted = lay_out(blocks, flow)
 
-    counts = {(whole[r.old, r.block], r.old, r.block): r.n for r in sums if (r.old, r.block) in whole}
+    counts = {(j, o, b): held[o, b][1] for (o, b), j in whole.items()}
     plan = spark.createDataFrame([(o, b, j) for (o, b), j in whole.items()] + [(o, b, -1) for o, b in parted], "old int, block int, shard int")
     placed = rows.join(F.broadcast(plan), ["old", "block"])  # at most old shards x BLOCKS rows
 
