@@ -136,6 +136,17 @@ def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _BLOCK)
 
 
+def texts_in_blocks(docs: DataFrame, counts, blocks: int) -> DataFrame:
+    """``in_blocks`` of the incidence of texts, in one Python worker."""
+
+    def run(batches):
+        for b, found in _slices(batches, 0):
+            n, fp, held = _described(found, counts.value)
+            yield _block_rows(fp, n, held, blocks)
+
+    return docs.select("text").mapInArrow(run, _BLOCK)
+
+
 _PRODUCT = "kind int, a long, b long, na long, nb long, c long"
 
 
@@ -273,7 +284,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sketch = column_counts(docs)
     blocks = int(min(100_000, max(64, int(sketch.sum(dtype=np.int64)) // (4 * BLOCK_ENTRIES))))
     counts = spark.sparkContext.broadcast(sketch)  # 4 bytes x 2^SKETCH_BITS
-    full = in_blocks(incidence(docs, counts), blocks).groupBy("block").applyInPandas(crowded, "bucket long").distinct()
+    full = texts_in_blocks(docs, counts, blocks).groupBy("block").applyInPandas(crowded, "bucket long").distinct()
     for r in full.toLocalIterator():  # at most 2^SKETCH_BITS buckets
         sketch[r.bucket] |= np.uint32(1 << 31)  # crowded columns go last
     counts = spark.sparkContext.broadcast(sketch)
