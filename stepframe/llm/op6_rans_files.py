@@ -7,7 +7,7 @@ with word stream, lane states, checkpoints, two checksums and the ids and length
 documents and are coded and decoded independently. ``read`` gives each document's ids back; ``digest`` their place and
 checksum. Only the table (a number for each vocabulary entry) and a sum for each part reach the driver.
 
-Null texts are empty documents (the end id alone); equal document ids are all kept, in an order set by their ids' bytes;
+Null texts are empty documents (the end id alone); null document ids come first; equal document ids are all kept, in an order set by their ids' bytes;
 an empty table gives no rows; other columns are not read. Very long texts make a block of their own.
 """
 
@@ -25,9 +25,9 @@ from stepframe.llm.pieces import SpacedEncoder, encoder
 from stepframe.llm.shared import byte_chunks, shared_path, ship, stored
 
 BATCH_BYTES = 4_000_000
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 8_000_000
-_BLOCK = "part int, block int, start long, n long, doc_ids binary, lengths binary, words binary, states binary, marks binary, crc long, symbols_crc long"
+_BLOCK = "part int, block int, start long, n long, doc_ids binary, known binary, lengths binary, words binary, states binary, marks binary, crc long, symbols_crc long"
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +80,7 @@ def write(ids: DataFrame, freq: np.ndarray, path: str, tokens: int) -> None:
             symbols = np.frombuffer(b"".join(held), "<u2")
             e = rans.encode(symbols, table)
             lengths = np.array([len(x) // 2 for x in held], "<i8").tobytes()
-            row = [part, block, start, len(symbols), np.array(keys, "<i8").tobytes(), lengths, e["words"], e["states"], e["marks"], e["crc"], e["symbols_crc"]]
+            row = [part, block, start, len(symbols), np.array([k or 0 for k in keys], "<i8").tobytes(), bytes(k is not None for k in keys), lengths, e["words"], e["states"], e["marks"], e["crc"], e["symbols_crc"]]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW, strict=True)], _NAMES)
 
         for b in batches:
@@ -98,7 +98,7 @@ def write(ids: DataFrame, freq: np.ndarray, path: str, tokens: int) -> None:
     dealt.mapInArrow(run, _BLOCK).write.parquet(path)
 
 
-_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
 _NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 
 
@@ -108,7 +108,8 @@ def _decoded(blocks: DataFrame, freq: np.ndarray, schema: str, each):
         for b in batches:
             for row in b.to_pylist():
                 symbols = rans.decode(row, table)
-                keys, lengths = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
+                keys = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["known"], np.uint8) == 0)
+                lengths = np.frombuffer(row["lengths"], "<i8")
                 yield each(row, keys, lengths, symbols.astype("<u4"))
 
     return blocks.mapInArrow(run, schema)
@@ -120,7 +121,7 @@ def read(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
     def each(row, keys, lengths, symbols):
         ends = np.cumsum(lengths)
         ids = [symbols[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return _decoded(blocks, freq, "doc_id long, ids binary", each)
 
@@ -132,7 +133,7 @@ def digest(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
         ends = np.cumsum(lengths)
         starts, raw = ends - lengths, memoryview(symbols.tobytes())
         crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        cols = [pa.array(keys), pa.array(np.full(len(keys), row["part"], np.int32)), pa.array(starts + row["start"]), pa.array(lengths), pa.array(crc, pa.int64())]
+        cols = [keys, pa.array(np.full(len(keys), row["part"], np.int32)), pa.array(starts + row["start"]), pa.array(lengths), pa.array(crc, pa.int64())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "within", "n_tokens", "ids_crc32"])
 
     spark = blocks.sparkSession

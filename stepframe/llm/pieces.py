@@ -103,7 +103,13 @@ class SpacedEncoder:
         return split_spaced(text) if self.keep_spaces else text.replace("\n", " ").split(" ")
 
     def word(self, w: str) -> bytes:
-        return array("H", [t.id for t in self.tokenize(w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if w.isascii() and w.isalnum():
+            signs = w
+        elif w[1:].isascii() and w[1:].isalnum() and w[0] == " ":
+            signs = "\u0120" + w[1:]
+        else:
+            signs = w.encode().decode("latin-1").translate(_BYTES)
+        return array("H", [t.id for t in self.tokenize(signs)]).tobytes()
 
     def one(self, piece: str) -> bytes:
         """Ids of a piece that ends in no white space, or of a whole text."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 20
-LANES = 1024
+LANES = 2048
 EVERY = 128
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
