@@ -180,12 +180,15 @@ def _counted(pairs: list[np.ndarray], names: np.ndarray, sizes: np.ndarray) -> p
 
 
 def product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kind 0: overlaps of pairs. Kind 1: in how many large columns row a stands. Kind 2: large column a holds row b."""
+    """Kind 0: overlaps of pairs. Kind 1: in how many small (na) and large columns (c) row a meets others. Kind 2: large column a holds row b."""
     names, sizes, columns, row = _gathered(pdf)
     cuts = np.concatenate([[0], np.flatnonzero(columns[1:] != columns[:-1]) + 1, [len(columns)]])
     width = np.diff(cuts)
     many = width > 1
     connected = np.bincount(row[np.repeat(many, width)], minlength=len(names))
+    few = np.repeat(many & (width <= SMALL), width)
+    shared = np.bincount(row[few], minlength=len(names))  # small columns with other rows
+    crowd = np.bincount(row[np.repeat(width > SMALL, width)], minlength=len(names))
     pairs, large = [], []
     for w in np.unique(width[many]):
         starts = cuts[:-1][width == w]
@@ -200,11 +203,10 @@ def product(pdf: pd.DataFrame) -> pd.DataFrame:
             pairs += [np.column_stack([np.full(w, h), held]) for h in hubs]
             large.append((columns[s], held))
     out = [_counted(pairs, names, sizes)]
+    used = np.flatnonzero(shared + crowd)
+    out.append(pd.DataFrame({"kind": 1, "a": names[used], "b": 0, "na": shared[used], "nb": 0, "c": crowd[used]}))
     if large:
         rows = np.concatenate([h for _, h in large])
-        used, c = np.unique(rows, return_counts=True)
-        zero = np.zeros(len(used), np.int64)
-        out.append(pd.DataFrame({"kind": 1, "a": names[used], "b": zero, "na": zero, "nb": zero, "c": c}))
         column = np.repeat(np.array([k for k, _ in large], np.uint64).view(np.int64), [len(h) for _, h in large])
         zero = np.zeros(len(rows), np.int64)
         out.append(pd.DataFrame({"kind": 2, "a": column, "b": names[rows], "na": zero, "nb": sizes[rows], "c": zero}))
@@ -219,7 +221,7 @@ def crowded(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the columns with one anchor, the overlaps of pairs of rows whose classes differ and whose sizes allow a match."""
+    """Of the columns with one anchor, the overlaps of pairs of rows whose classes differ and that can still match."""
     names, first = np.unique(pdf["b"].to_numpy(), return_index=True)
     sizes, labels = pdf["nb"].to_numpy()[first], pdf["label"].to_numpy()[first]
     rank = np.lexsort((names, sizes))
@@ -231,13 +233,17 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     held = np.zeros((column.max() + 1, len(names)), bool)
     held[column, row] = True
     ends = np.searchsorted(sizes, sizes * 4 // 3, "right")
+    # what the columns that count and are not here can still add to an overlap, and those that don't count
+    other, rest = pdf["other"].to_numpy()[first][rank] - held.sum(0), (3 * sizes + 3) // 4 - 1
     out = []
     for i in range(len(names) - 1):
         j = np.arange(i + 1, ends[i])
         j = j[labels[j] != labels[i]]
         if len(j):
             c = held[held[:, i]][:, j].sum(0)
-            j, c = j[c > 0], c[c > 0]
+            most = c + np.minimum(other[i], other[j]) + np.maximum(rest[i], rest[j])
+            may = (c > 0) & (7 * most >= 3 * (sizes[i] + sizes[j]))
+            j, c = j[may], c[may]
             x, y = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
             flip = names[i] > names[j]
             out.append(pd.DataFrame({"a": x, "b": y, "na": np.where(flip, sizes[j], sizes[i]), "nb": np.where(flip, sizes[i], sizes[j]), "c": c}))
@@ -293,7 +299,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     parts = stored(in_blocks(rows, blocks).groupBy("block").applyInPandas(product, _PRODUCT), "product")
     pairs = parts.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    wide = stored(parts.where("kind = 1").groupBy("a").agg(F.sum("c").alias("w")).withColumnRenamed("a", "fp"), "wide")
+    wide = stored(parts.where("kind = 1").groupBy("a").agg(F.sum("c").alias("w"), F.sum("na").alias("few")).where("w > 0").withColumnRenamed("a", "fp"), "wide")
     n_wide = wide.count()
     for side in "ab":
         more = _small_side(wide.select(F.col("fp").alias(side), F.col("w").alias(f"w{side}")), n_wide)
@@ -309,8 +315,12 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     if n_wide:
         known = _small_side(labels.withColumnRenamed("node", "b"), labels.count())
         marked = stored(large.withColumnRenamed("a", "column").join(known, "b", "left").withColumn("label", F.coalesce("label", "b")), "large-columns")
-        anchors = marked.groupBy("column").agg((F.min("label") != F.max("label")).alias("open"), F.min("b").alias("anchor")).where("open").select("column", "anchor")
-        across = marked.join(anchors, "column").groupBy("anchor").applyInPandas(_across, "a long, b long, na long, nb long, c long")
+        # columns in which most rows are of one class go together, so that nearly all overlaps of a pair are counted in one place
+        by_label = marked.groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
+        anchors = by_label.groupBy("column").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("anchor")).where("labels > 1").select("column", "anchor")
+        opened = stored(marked.join(anchors, "column"), "open-columns")
+        others = opened.groupBy("b").agg(F.count(F.lit(1)).alias("n_open")).join(wide.withColumnRenamed("fp", "b"), "b").select("b", (F.col("n_open") + F.col("few")).alias("other"))
+        across = opened.join(others, "b").groupBy("anchor").applyInPandas(_across, "a long, b long, na long, nb long, c long")
         again = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("large"))
         again = again.join(pairs.select("a", "b", "c"), ["a", "b"], "left").where(7 * (F.coalesce("c", F.lit(0)) + F.col("large") + most) >= 3 * (F.col("na") + F.col("nb")))
         again = stored(again.select("a", "b").join(candidates, ["a", "b"], "left_anti"), "candidates")
