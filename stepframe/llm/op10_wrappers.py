@@ -4,10 +4,13 @@ A page is a stream of tags (name and first class) and text slots. Repeated neigh
 pages of a host with the same folded stream count as one, so a host with a third of all pages costs as many rows as it has
 layouts. The layouts of a host, most frequent first, are aligned one by one: what both hold stays, other stretches become
 optional groups, a stretch that is a known repeated group becomes that group. The result is the host's wrapper, a
-union-free expression over tags and slots. Its text slots are told apart by their place: those in navigation, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles are left out, and if the page has an article or main
-region only slots in it count (a heading block inside it stays). Each page's slots are then read by the wrapper of its host;
-slots that the wrapper doesn't know are judged by the same rules.
+union-free expression over tags and slots. Slots carry their texts (those of a repeated group together), so aligning compares
+them: a slot whose text is the same on all pages that hold it is template and not part of a page's text. It takes three such pages
+of different text, and of the host's pages a fifth in plain regions or all of them in article or main regions, where near copies of
+one article would look like template otherwise. A page of nothing but template keeps its text.
+Slots that differ between pages are told apart by their place: those in navigation, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts and styles are left out by fixed lists of tags and class words, and if the page has an article or main
+region only slots in it count (a heading block inside it stays).
 
 Blocks are joined by one space, white space inside them is one space, character references are decoded. Null or textless
 pages give an empty text. Repeated rows are extracted each; an empty table gives no rows; extra columns are not read.
@@ -16,6 +19,7 @@ Text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -112,23 +116,54 @@ def judged(where: str) -> tuple[bool, bool]:
 # Wrappers: lists whose items are symbols or [mark, items] with mark "+" or "?".
 
 
+class Slot(str):
+    """A text slot: the hash of its texts (0 once pages differ), its pages, and hashes of up to ENOUGH different texts of theirs."""
+
+    def __new__(cls, value: int, n: int, texts: list[int]):
+        self = super().__new__(cls, "#")
+        self.value, self.n, self.texts, self.into = value, n, texts, None
+        return self
+
+    def root(self) -> Slot:
+        return self if self.into is None else self.into.root()
+
+    def take(self, other: Slot) -> None:
+        self.value = self.value if self.value == other.value else 0
+        self.n += other.n
+        self.texts = sorted({*self.texts, *other.texts})[:ENOUGH]
+        other.into = self
+
+
+def hashed(parts) -> int:
+    """A positive number for texts in their order."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1 | 1
+
+
 def fold(symbols: list[str]) -> list:
     """Fold repeated neighbours into groups, the shortest groups first."""
+    return folded(symbols)[0]
+
+
+def folded(symbols: list[str]) -> tuple[list, list[list[int]]]:
+    """The folded stream, and for each of its slots where in the stream its texts are."""
     letters = {s: chr(LETTER + i) for i, s in enumerate(dict.fromkeys(symbols))}
     items: dict[str, object] = {c: s for s, c in letters.items()}
     text = "".join(letters[s] for s in symbols)
+    held = [[[i]] if s == "#" else [] for i, s in enumerate(symbols)]  # for each letter of the text, the texts of each of its slots
     known: dict[str, str] = {}
     for _ in range(6):
-        def grouped(m):
+        after, kept, at = [], [], 0
+        for m in re.finditer(rf"(.{{2,{GROUP}}}?)\1+", text, flags=re.S):
             c = known.setdefault(m[1], chr(LETTER + len(items)))
             items.setdefault(c, ["+", [items[x] for x in m[1]]])
-            return c
-
-        after = re.sub(rf"(.{{2,{GROUP}}}?)\1+", grouped, text, flags=re.S)
-        if after == text:
+            rounds = [[x for h in held[k : k + len(m[1])] for x in h] for k in range(m.start(), m.end(), len(m[1]))]
+            after += [text[at : m.start()], c]
+            kept += [*held[at : m.start()], [[i for part in same for i in part] for same in zip(*rounds, strict=True)]]
+            at = m.end()
+        if not after:
             break
-        text = after
-    return [items[c] for c in text]
+        text, held = "".join(after) + text[at:], kept + held[at:]
+    return [items[c] for c in text], [x for h in held for x in h]
 
 
 def bare(item) -> str:
@@ -137,13 +172,13 @@ def bare(item) -> str:
 
 def refold(items: list, other: list) -> list:
     """Put in groups that ``other`` repeats where ``items`` hold their content once."""
-    groups = {tuple(map(bare, x[1])): x for x in other if not isinstance(x, str) and x[0] == "+"}
+    groups = dict.fromkeys(tuple(map(bare, x[1])) for x in other if not isinstance(x, str) and x[0] == "+")
     out: list = []
     k = 0
     while k < len(items):
-        for content, group in groups.items():
+        for content in groups:
             if tuple(map(bare, items[k : k + len(content)])) == content:
-                out.append(group)
+                out.append(["+", items[k : k + len(content)]])
                 k += len(content)
                 break
         else:
@@ -168,6 +203,9 @@ def align(wrapper: list, page: list) -> list:
 
     for op, a, b, c, d in SequenceMatcher(None, [s for s, _ in spread], [bare(x) for x in page], autojunk=False).get_opcodes():
         if op == "equal":
+            for x, y in zip(symbols_of(used[a:b]), symbols_of(page[c:d]), strict=True):
+                if isinstance(x, Slot) and isinstance(y, Slot):
+                    x.take(y)
             for optional, run in runs(a, b):
                 out += [["?", run]] if optional else run
         else:
@@ -198,6 +236,8 @@ def accepts(items: list, symbols: list[str]) -> bool:
 
 
 MAIN, PLAIN, NOISE = 2, 1, 0
+#: Pages of different text that must agree on a slot's text, and the share of a host's pages (one in so many) that a plain one must be on.
+ENOUGH, SHARE = 3, 5
 
 
 def rank(where: str) -> int:
@@ -207,8 +247,7 @@ def rank(where: str) -> int:
 
 def slots(items: list) -> dict[str, int]:
     """Rank of each place where the wrapper has a slot."""
-    symbols = symbols_of(items)
-    return {p: rank(p) for p in dict.fromkeys(place(stack) for s, stack in zip(symbols, walk(symbols), strict=True) if s == "#")}
+    return {p: rank(p) for p in dict.fromkeys(places_of(items))}
 
 
 def infer(layouts: list[list]) -> list:
@@ -218,27 +257,88 @@ def infer(layouts: list[list]) -> list:
     return wrapper
 
 
-def text_of(page: str | None, known: dict[str, int]) -> str:
-    """The main text of a page; ``known`` has the ranks of places, and learns those of new ones."""
+def least_rank(symbols: list[str]) -> int:
+    """MAIN if the page has a main region."""
+    return MAIN if any(s not in ("#", "html", "body") and s[0] != "/" and _is(s, MAIN_TAGS, MAIN_WORDS) for s in dict.fromkeys(symbols)) else PLAIN
+
+
+def clean(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+class Layouts(dict):
+    """By a page's stream: the folded stream as JSON, the texts and the place of each slot, and which slots count by their place."""
+
+    def __missing__(self, raw: str):
+        if len(self) > 5000:
+            self.clear()
+        symbols = raw.split(" ")
+        items, texts = folded(symbols)
+        places, least = places_of(items), least_rank(symbols)
+        got = self[raw] = json.dumps(items), texts, places, [k for k, p in enumerate(places) if rank(p) >= least]
+        return got
+
+
+def places_of(items: list) -> list[str]:
+    """The place of each slot, in order."""
+    symbols = symbols_of(items)
+    return [place(stack) for s, stack in zip(symbols, walk(symbols), strict=True) if s == "#"]
+
+
+def read(found: list[tuple[str, str]], layouts: Layouts):
+    """The layout of a page, where each of its slots stands in ``found``, and the hash of each slot's texts."""
+    at = [k for k, (s, t) in enumerate(found) if s != "#" or t.strip()]
+    got = layouts[" ".join(found[k][0] for k in at)]
+    where = [[at[i] for i in texts] for texts in got[1]]
+    return got, where, [hashed(clean(found[k][1]) for k in ks) for ks in where]
+
+
+def with_slots(items: list, slots) -> list:
+    """The items with the next of ``slots`` in place of each text."""
+    return [(next(slots) if x == "#" else x) if isinstance(x, str) else [x[0], with_slots(x[1], slots)] for x in items]
+
+
+def template(layouts: list[list], total: int) -> set[tuple[str, int]]:
+    """(place, hash of texts) of the slots that are template, when the layouts have been aligned."""
+    out = set()
+    for items in layouts:
+        for where, slot in zip(places_of(items), (s for s in symbols_of(items) if s == "#"), strict=True):
+            own, r = slot.root(), rank(where)
+            if own.value and len(own.texts) >= ENOUGH and (r == MAIN and own.n == total or r == PLAIN and own.n * SHARE >= total):
+                out.add((where, own.value))
+    return out
+
+
+def text_of(page: str | None, known: dict[str, int], constant: set[tuple[str, int]] = frozenset(), layouts: Layouts | None = None) -> str:
+    """The main text of a page; ``known`` keeps the ranks of places, ``constant`` is its host's template."""
     if not page:
         return ""
     found = list(tokens(page))
+    text = ""
+    if constant and any(s != "#" or t.strip() for s, t in found):
+        (_, _, places, _), where, values = read(found, Layouts() if layouts is None else layouts)
+        gone = {k for ks, key in zip(where, zip(places, values, strict=True), strict=True) if key in constant for k in ks}
+        text = text_without(gone, found, known)
+    return text or text_without(set(), found, known)
+
+
+def text_without(gone: set[int], found: list[tuple[str, str]], known: dict[str, int]) -> str:
     symbols = [s for s, _ in found]
-    least = MAIN if any(s not in ("#", "html", "body") and s[0] != "/" and _is(s, MAIN_TAGS, MAIN_WORDS) for s in dict.fromkeys(symbols)) else PLAIN
+    least = least_rank(symbols)
     blocks: list[str] = []
     held: list[str] = []
-    for (s, text), stack in zip(found, walk(symbols), strict=True):
+    for k, ((s, text), stack) in enumerate(zip(found, walk(symbols), strict=True)):
         if s == "#":
             where = place(stack)
             if where not in known:
                 known[where] = rank(where)
-            if known[where] >= least:
+            if known[where] >= least and k not in gone:
                 held.append(text)
         elif s.lstrip("/").split(".", 1)[0] not in INLINE and held:
             blocks.append("".join(held))
             held = []
     blocks.append("".join(held))
-    return " ".join(b for b in (" ".join(html.unescape(x).split()) for x in blocks) if b)
+    return " ".join(b for b in map(clean, blocks) if b)
 
 
 def host_of(url: str = "url"):
@@ -246,51 +346,66 @@ def host_of(url: str = "url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (expression), slots (JSON of places and ranks), from all pages (host, html)."""
+    """host, wrapper (expression), template (JSON of places and hashes of texts), from all pages (host, html)."""
 
     def run(batches):
         for b in batches:
-            out = {}
+            out: dict = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                symbols = [s for s, t in tokens(page) if s != "#" or t.strip()] if page else []
-                if symbols:
-                    raw = " ".join(symbols)
-                    if raw not in seen:
-                        if len(seen) > 5000:
-                            seen.clear()
-                        seen[raw] = json.dumps(fold(symbols))
-                    out[host, seen[raw]] = out.get((host, seen[raw]), 0) + 1
-            hosts, layouts = [k for k, _ in out], [v for _, v in out]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(layouts, pa.string()), pa.array(list(out.values()), pa.int64())], ["host", "layout", "n"])
-
-    seen: dict[str, str] = {}
+                found = list(tokens(page)) if page else []
+                if any(s != "#" or t.strip() for s, t in found):
+                    (layout, _, _, counted), _, values = read(found, layouts)
+                    one = Slot(0, 1, [hashed(str(values[k]) for k in counted)])
+                    if (host, layout) in out:
+                        all_, had = out[host, layout]
+                        all_.take(one)
+                        out[host, layout] = all_, [x if x == y else 0 for x, y in zip(had, values, strict=True)]
+                    else:
+                        out[host, layout] = one, values
+            columns = [k for k, _ in out], [k for _, k in out], [x.n for x, _ in out.values()], [v for _, v in out.values()], [x.texts for x, _ in out.values()]
+            kinds = pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "layout", "n", "vals", "texts"])
+
+    layouts = Layouts()
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "layout"], ascending=[False, True])
-        w = infer([json.loads(x) for x in pdf["layout"]])
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(w)], "slots": [json.dumps(slots(w))]})
+        own = [
+            with_slots(json.loads(layout), iter([Slot(int(v), int(n), [int(x) for x in texts]) for v in vals]))
+            for layout, n, vals, texts in zip(pdf["layout"], pdf["n"], pdf["vals"], pdf["texts"], strict=True)
+        ]
+        w = infer(own)
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(w)], "template": [json.dumps(sorted(template(own, int(pdf["n"].sum()))))]})
 
-    counts = pages.mapInArrow(run, "host string, layout string, n long").groupBy("host", "layout").agg(F.sum("n").alias("n"))
-    return counts.groupBy("host").applyInPandas(together, "host string, wrapper string, slots string")
+    counts = pages.mapInArrow(run, "host string, layout string, n long, vals array<long>, texts array<long>").groupBy("host", "layout").agg(
+        F.sum("n").alias("n"), F.collect_list("vals").alias("vals"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("texts")
+    )
+    agreed = F.aggregate("vals", F.col("vals")[0], lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(0).cast("long"))))
+    counts = counts.select("host", "layout", "n", agreed.alias("vals"), F.slice(F.array_sort("texts"), 1, ENOUGH).alias("texts"))
+    return counts.groupBy("host").applyInPandas(together, "host string, wrapper string, template string")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(page).alias("html"))
-    known = stored(wrappers(rows.select("host", "html")).select("host", "slots"), "wrappers")
+    known = stored(wrappers(rows.select("host", "html")).select("host", "template"), "wrappers")
 
     def run(batches):
-        held: dict[str, dict[str, int]] = {}
+        held: dict[str, set[tuple[str, int]]] = {}
+        ranks: dict[str, int] = {}
+        layouts = Layouts()
         for b in batches:
             out = []
+            if len(ranks) > 100_000:
+                ranks.clear()
             for s, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s = s or "{}"
+                s = s or "[]"
                 if s not in held:
                     if len(held) > 2000:
                         held.clear()
-                    held[s] = json.loads(s)
-                out.append(text_of(h, held[s]))
+                    held[s] = {(where, value) for where, value in json.loads(s)}
+                out.append(text_of(h, ranks, held[s], layouts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(known, "host", "left").select("page_id", "url", "slots", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select("page_id", "url", "template", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -103,3 +103,22 @@ def test_wrapper_accepts_its_pages_and_is_union_free():
     assert "( li a # /a /li )+" in text and "( div.ad # /div )?" in text and "|" not in text
     assert all(op10.accepts(wrapper, s) for s in streams)
     assert [p for p, r in op10.slots(wrapper).items() if r == op10.MAIN] == ["html body article h1", "html body article p"]
+
+
+def test_text_that_a_hosts_pages_share_is_template(spark):
+    rng = random.Random(3)
+    words = lambda: " ".join(f"w{rng.randrange(999)}" for _ in range(9))
+    menu, notice = "<div><a href=/>Home</a><a href=/a>About us</a></div>", "<div>We use small files.</div>"
+    rows, want = [], {}
+    for i in range(12):
+        ps = [words() for _ in range(rng.randint(1, 4))]
+        rows.append((i, "http://plain.org/x", f"<body>{menu}<h1>{ps[0]}</h1>{notice if i % 2 else ''}{''.join(f'<p>{p}</p>' for p in ps)}<div>All rights</div></body>"))
+        want[i] = " ".join([ps[0], *ps])
+        rows.append((100 + i, "http://main.org/x", f"<article><h1>{ps[0]}</h1><div>Tell a friend</div><p>{ps[-1]}</p>{'<blockquote>same</blockquote>' if i < 6 else ''}</article>"))
+        want[100 + i] = f"{ps[0]} {ps[-1]}" + (" same" if i < 6 else "")
+        rows.append((200 + i, "http://copies.org/x", f"<body><h1>One article</h1><p>copied</p><nav>{i}</nav></body>"))
+        want[200 + i] = "One article copied"
+    rows += [(300 + i, "http://two.org", f"<body><div>Home</div><p>{i}</p></body>") for i in range(2)]
+    want |= {300: "Home 0", 301: "Home 1"}
+    got = op10.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want
