@@ -1,6 +1,6 @@
 """Main text of web pages by union-free regular expressions (wrappers) inferred from the pages of a host.
 
-A page is a stream of tags (name and first class) and text slots. Repeated neighbours fold into groups, ``( li a # /a /li )+``;
+A page is a stream of tags (name and the words of class, id and role) and text slots. Repeated neighbours fold into groups, ``( li a # /a /li )+``;
 pages of a host with the same folded stream count as one, so a host with a third of all pages costs as many rows as it has
 layouts. The layouts of a host, most frequent first, are aligned one by one: what both hold stays, other stretches become
 optional groups, a stretch that is a known repeated group becomes that group. The result is the host's wrapper, a
@@ -57,7 +57,7 @@ LETTER = 0xE000
 
 
 def tokens(page: str):
-    """(symbol, text): an opening tag "name" or "name.class", "/name", or "#" with its text."""
+    """(symbol, text): an opening tag "name" or "name.class.id.role" with all words, "/name", or "#" with its text."""
     for m in TOKEN.finditer(page):
         t = m[0]
         if m[1]:
@@ -70,7 +70,7 @@ def tokens(page: str):
                 yield "/" + name, ""
             else:
                 words = " ".join(x for found in CLASS.findall(t) for x in found if x).split()
-                yield ".".join([name, *words[:3]]) if words else name, ""
+                yield ".".join([name, *words]), ""
 
 
 def walk(symbols):

@@ -122,3 +122,9 @@ def test_text_that_a_hosts_pages_share_is_template(spark):
     want |= {300: "Home 0", 301: "Home 1"}
     got = op10.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_every_word_of_a_tag_is_judged():
+    side = '<div class="col-12 col-md-4 order-2 sidebar"><p>side</p></div><div class="row wide x" role="complementary">more</div>'
+    assert op10.text_of(f"<article><p>a</p>{side}</article>", {}) == "a" and op10.text_of(f"<body>{side}<p>a</p></body>", {}) == "a"
+    assert op10.text_of('<body><p>other</p><div class="col-12 col-md-8 order-1 content"><p>a</p></div></body>', {}) == "a"
