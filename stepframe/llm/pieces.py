@@ -194,7 +194,11 @@ class PieceCounter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         if any(t and len(t) > 2_000_000 for t in texts):
-            return [sum(sum(self.count([s])) for s in segments(t, keep_space=False)) if t else 0 for t in texts]
+            return [sum(self.count_uncut([s])[0] for s in segments(t, keep_space=False)) if t else 0 for t in texts]
+        return self.count_uncut(texts)
+
+    def count_uncut(self, texts: list[str | None]) -> list[int]:
+        """Counts of texts of any length: a long one without a place to cut is counted as a whole."""
         known = self.known
         split = [self.pieces(t) if t else [] for t in texts]
         new = [p for p in set(chain.from_iterable(split)).difference(known) if known.old.get(p) is None]

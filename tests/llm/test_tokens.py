@@ -42,6 +42,14 @@ def test_long_texts_are_cut_safely(monkeypatch):
     assert sum(sum(pieces.PieceCounter(PIECES).count([p])) for p in parts) == len(model.encode(long))
 
 
+@pytest.mark.parametrize("unit", ["слово и ещё одно ", "一二三四五", "word\n", "abcdefgh"])
+def test_long_texts_without_places_to_cut(unit):
+    long = unit * (2_000_100 // len(unit) + 1)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    short = "some plain words, and more"
+    assert pieces.PieceCounter(PIECES).count([long, None, short]) == [len(model.encode(long)), 0, len(model.encode(short))]
+
+
 def docs_of(spark, held):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(held)], "doc_id long, text string, n_tokens int")
 
