@@ -11,8 +11,8 @@ the pages of all pivots whose ball can still hold a score as high. In a page, no
 are passed over without computing a distance where stored parent distances already exclude them. Bounds have
 a relative slack and ties are never excluded; scores are whole numbers.
 
-Vectors null, without an id, or holding null or non-finite components, take no part; shorter ones are filled with zeros; scaled components
-are held within +-2^30. Ties go to the smaller id; repeated ids are separate rows, of which a query excludes its own id.
+Vectors null, without an id, or holding null or non-finite components, take no part; shorter ones are filled with zeros. Scaled
+components are kept whole; a vector whose squared norm, and so a score, could pass 64 bits raises OverflowError. Ties go to the smaller id; repeated ids are separate rows, of which a query excludes its own id.
 An empty table gives no rows. Extra columns are not read.
 """
 
@@ -35,6 +35,8 @@ PAGE = 2048
 LEAF = 64
 FANOUT = 16
 SLACK = 1e-9
+#: Squared norms stay under this, with room for rounding: no inner product passes int64.
+MOST = 2.0**63 * (1 - 1e-6)
 
 
 def scaled(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
@@ -47,10 +49,12 @@ def scaled(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
     def run(batches):
         for b in batches:
             lists = b.column(1)
-            ints = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False))
-            ints = np.clip(ints, -(2**30), 2**30).astype(np.int64)
+            whole = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False))
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+            if any(float(whole[s:e] @ whole[s:e]) >= MOST for s, e in zip(starts, ends, strict=True)):
+                raise OverflowError("an embedding is too long for scores of 64 bits")
+            ints = whole.astype(np.int64)
             parts = [ints[s:e] for s, e in zip(starts, ends, strict=True)]
             cols = [b.column(0), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([int(p @ p) for p in parts], pa.int64()), pa.array((ends - starts).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "norm", "dims"])

@@ -51,3 +51,11 @@ def test_pages_compute_fewer_distances_than_rows():
     s = v @ v[0]
     want = sorted(((int(-s[i]), i) for i in range(2000) if i))[:10]
     assert sorted((-a, b) for a, b in found) == want and computed < 1000
+
+
+def test_large_components_are_whole_or_raise(spark):
+    rows = [(0, [1.5e6, -1.25e6]), (1, [1.4e6, 1.0]), (2, [-1.3e6, 2.5]), (3, [0.5, 1.1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(top_k(df, 3, 1)) == brute(rows, 3, 1)
+    with pytest.raises(Exception, match="too long for scores"):
+        top_k(spark.createDataFrame([*rows, (4, [1e30, 0.0])], df.schema), 3, 1).count()
