@@ -3,12 +3,22 @@
 Rows of the matrix are distinct sets (documents with equal sets are one row), columns are shingles, dealt into blocks by
 hash. Of each set only the columns that a match can't avoid go into the product: with a threshold of 3/4, two sets that match
 share one of the first n - ceil(3n/4) + 1 columns of each in any common order. The order puts columns with high counts
-over all documents last (counts in 2^SKETCH_BITS buckets, a bounded array), and after a first pass also those that still
-have more than SMALL rows, so common passages count only in documents that hold little else. In a block, all pairs of a column of up to ``SMALL`` rows add to their overlap; a larger column links its rows to its
-``HUBS`` most connected rows only. Pairs are discarded by size (4 min < 3 max) and where the overlaps, with what can lie
-in the remaining columns, stay below 3/7 of the summed sizes; the rest are checked on their whole sets. Of large columns
-all rows that the links found so far leave in different classes are paired then, held against the same bound and
-checked too, so no link between classes is lost; pairs inside a class are not needed. Links to classes are components by star contraction.
+over all documents last (counts in 2^SKETCH_BITS buckets, a bounded array), so common passages count only in documents that hold
+little else. The order decides the cost alone, never the result. Columns that only one row holds go.
+
+The product is taken in two passes, whose cost in a group of near copies grows with its rows and not with its pairs:
+
+1. Each column adds to the overlaps of its rows with a hub, the most connected row of another class (at first each row is a class).
+   Each row is checked against the ``BEST`` hubs of highest overlap on their whole sets, and the links merge classes; this
+   is repeated with new hubs as long as many links are found.
+2. All rows of a column that are still in different classes are paired, tile by tile of about ``TILE`` rows. A pair is
+   kept only where sizes allow a match (4 min >= 3 max) and where what is left of both sets from that column on is enough for
+   the overlap that a match needs, 3/7 of the summed sizes; overlaps are accumulated over the columns and held against that
+   bound again. What stays is checked on whole sets. Pairs inside a class are not needed, so no link between classes is lost.
+
+A column is a task's work up to ``HOT`` rows; where the counts allow more, such columns are counted and salted.
+
+Links to classes are components by star contraction.
 
 Documents without words are empty: linked with nothing, not even each other. Null texts are empty; documents without an id are in no class. Repeated rows are rows of
 their own; an empty table gives no rows; extra columns are not read. Hashes have 64 bits; sets count as equal when
@@ -23,27 +33,36 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepframe.llm.components import components
-from stepframe.llm.shared import ship, stored
+from stepframe.llm.shared import byte_slices, ship, stored
 from stepframe.llm.shingles import mixed, sets
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 BLOCK_ENTRIES = 500_000
-SMALL = 32
-HUBS = 3
+#: Rows of a column that a block takes; wider columns (the LISTED widest at most) are salted over several.
+HOT = 1 << 16
+LISTED = 1 << 20
+#: Rows of a column on each side of a product of tiles.
+TILE = 1024
+#: Hubs that a row is checked against in a round; rounds end when fewer than one row in GAIN finds a link.
+BEST = 3
+GAIN = 20
+ROUNDS = 8
 #: Ids (8 bytes each) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-SLICE = 2000
 
 
 def _slices(batches, column: int):
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            part = b.slice(at, SLICE)
-            yield part, sets(part.column(column))
+    for part in byte_slices(batches, column):
+        yield part, list(sets(part.column(column)))
+
+
+def _bucket(columns: np.ndarray) -> np.ndarray:
+    return (columns >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def column_counts(docs: DataFrame) -> np.ndarray:
@@ -53,8 +72,7 @@ def column_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for _, found in _slices(batches, 0):
-            many = list(found)
-            total += np.bincount((np.concatenate(many) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            total += np.bincount(_bucket(np.concatenate(found)), minlength=size)
         if total.any():
             packed = [zlib.compress(total[k * width : (k + 1) * width].astype("<u4").tobytes(), 1) for k in range(SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(packed, pa.binary())], ["part", "n"])
@@ -80,174 +98,165 @@ def prefix_length(n: np.ndarray | int):
     return n - (3 * n + 3) // 4 + 1
 
 
-def _described(found, order: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
-    """Sizes, fingerprints and the columns that count of sets."""
-    n, fp, held = [], [], []
-    for s in found:
-        n.append(len(s))
-        fp.append(fingerprint(s))
-        first = np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-        held.append(s[first[: prefix_length(len(s))]].tobytes() if len(s) else b"")
-    return n, fp, held
-
-
-def incidence(docs: DataFrame, counts) -> DataFrame:
-    """doc_id, n, fp and the columns that count (binary) of each document."""
-
-    def run(batches):
-        for b, found in _slices(batches, 1):
-            n, fp, held = _described(found, counts.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "n", "fp", "columns"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, columns binary")
-
+class Order:
+    """The common order of the columns, by count, and the rows of hot columns."""
 
-_BLOCK = "block int, fps binary, ns binary, at binary, columns binary"
+    def __init__(self, counts: np.ndarray, columns: np.ndarray, n: np.ndarray):
+        turn = np.argsort(columns)
+        self.counts, self.columns, self.n = counts, columns[turn], n[turn].astype(np.int64)
 
+    def hot(self, columns: np.ndarray) -> np.ndarray:
+        """Rows of hot columns, 0 for others."""
+        if not len(self.columns):
+            return np.zeros(len(columns), np.int64)
+        at = np.minimum(np.searchsorted(self.columns, columns), len(self.columns) - 1)
+        return np.where(self.columns[at] == columns, self.n[at], 0)
 
-def _block_rows(fps: list[int], ns: list[int], held: list[bytes], blocks: int) -> pa.RecordBatch:
-    """Entries of distinct rows by block of columns."""
-    once = {fp: (n, c) for fp, n, c in zip(fps, ns, held, strict=True) if n}
-    out = []
-    if once:
-        fps, ns = np.array(list(once), np.int64), np.array([n for n, _ in once.values()], np.int64)
-        columns = np.frombuffer(b"".join(c for _, c in once.values()), np.uint64)
-        at = np.repeat(np.arange(len(fps), dtype=np.int32), [len(c) // 8 for _, c in once.values()])
-        block = (columns % np.uint64(blocks)).astype(np.int64)
-        turn = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[turn], np.arange(blocks + 1))
-        for k in range(blocks):
-            own = turn[cuts[k] : cuts[k + 1]]
-            if len(own):
-                used, local = np.unique(at[own], return_inverse=True)
-                out.append((k, fps[used].tobytes(), ns[used].tobytes(), local.astype(np.int32).tobytes(), columns[own].tobytes()))
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    cols = zip(*out, strict=True) if out else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "fps", "ns", "at", "columns"])
+    def prefixes(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """The columns of each set that count, in order."""
+        place = self.counts[_bucket(np.concatenate(found))]
+        out, at = [], 0
+        for s in found:
+            k = len(s)
+            out.append(s[np.argsort(place[at : at + k], kind="stable")[: prefix_length(k)]] if k else s)
+            at += k
+        return out
 
 
-def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """block, fps, ns, at, columns: the entries of each batch of rows by block of columns."""
+def hot_columns(rows: DataFrame, counts: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of the incidence with more than HOT rows, and how many. Only buckets that hold as many can have one; each task
+    adds up its own part first, so such a column costs a number for each batch."""
+    if counts.max(initial=0) <= HOT:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    may = rows.sparkSession.sparkContext.broadcast(np.packbits(counts > HOT))
 
     def run(batches):
+        full = np.unpackbits(may.value).astype(bool)
         for b in batches:
-            yield _block_rows(*(b.column(i).to_pylist() for i in range(3)), blocks)
+            columns, n = np.unique(np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), np.uint64), return_counts=True)
+            columns, n = columns[k := full[_bucket(columns)]], n[k]
+            if len(columns):
+                block = (columns % np.uint64(blocks)).astype(np.int64)
+                turn = np.argsort(block, kind="stable")
+                used, cuts = np.unique(block[turn], return_index=True)
+                pieces = [turn[i:j] for i, j in zip(cuts.tolist(), [*cuts.tolist(), len(turn)][1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([columns[x].tobytes() for x in pieces], pa.binary()), pa.array([n[x].astype("<u4").tobytes() for x in pieces], pa.binary())], ["block", "columns", "n"])
 
-    return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _BLOCK)
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns, at = np.unique(np.frombuffer(b"".join(pdf["columns"]), np.uint64), return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(pdf["n"]), "<u4")).astype(np.int64)
+        return pd.DataFrame({"column": columns[total > HOT].view(np.int64), "n": total[total > HOT]})
+
+    counted = rows.select("columns").mapInArrow(run, "block long, columns binary, n binary").groupBy("block").applyInPandas(add, "column long, n long")
+    found = counted.orderBy(F.desc("n"), "column").limit(LISTED).collect()  # 16 bytes each
+    return np.array([r.column for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
 
 
-def texts_in_blocks(docs: DataFrame, counts, blocks: int) -> DataFrame:
-    """``in_blocks`` of the incidence of texts, in one Python worker."""
+def incidence(docs: DataFrame, order) -> DataFrame:
+    """doc_id, n, fp and the columns that count (binary, in order) of each document."""
 
     def run(batches):
-        for b, found in _slices(batches, 0):
-            n, fp, held = _described(found, counts.value)
-            yield _block_rows(fp, n, held, blocks)
+        for b, found in _slices(batches, 1):
+            held = order.value.prefixes(found)
+            n, fp = [len(s) for s in found], [fingerprint(s) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array([c.tobytes() for c in held], pa.binary())], ["doc_id", "n", "fp", "columns"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, columns binary")
 
-    return docs.select("text").mapInArrow(run, _BLOCK)
 
+_CELL = "block long, salt long, fps binary, ns binary, at binary, left binary, columns binary"
 
-_PRODUCT = "kind int, a long, b long, na long, nb long, c long"
 
+def in_blocks(rows: DataFrame, order, blocks: int) -> DataFrame:
+    """The entries of each batch of distinct rows by block of columns; rows of a hot column are salted."""
 
-def _gathered(pdf: pd.DataFrame):
-    """Distinct rows and sizes of a block, and its entries (column, row) without repeats, by column."""
+    def run(batches):
+        for b in batches:
+            once = {fp: (n, c) for fp, n, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if n}
+            out = []
+            if once:
+                fps, ns = np.array(list(once), np.int64), np.array([n for n, _ in once.values()], np.int64)
+                columns = np.frombuffer(b"".join(c for _, c in once.values()), np.uint64)
+                held = np.array([len(c) // 8 for _, c in once.values()], np.int64)
+                at = np.repeat(np.arange(len(fps)), held)
+                left = ns[at] - (np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held))  # of the set, from this column on
+                block = (columns % np.uint64(blocks)).astype(np.int64)
+                salts = -(-order.value.hot(columns) // HOT)
+                salt = np.where(salts > 1, 1 + (fps[at] & (2**62 - 1)) % np.maximum(salts, 1), 0)
+                turn = np.lexsort((salt, block))
+                cuts = np.flatnonzero(np.concatenate([[True], (block[turn][1:] != block[turn][:-1]) | (salt[turn][1:] != salt[turn][:-1])]))
+                for i, j in zip(cuts.tolist(), [*cuts.tolist()[1:], len(turn)], strict=True):
+                    own = turn[i:j]
+                    used, local = np.unique(at[own], return_inverse=True)
+                    out.append((block[own[0]], salt[own[0]], fps[used].tobytes(), ns[used].tobytes(), local.astype(np.int32).tobytes(), left[own].astype(np.int32).tobytes(), columns[own].tobytes()))
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            cols = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "salt", "fps", "ns", "at", "left", "columns"])
+
+    return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _CELL)
+
+
+_ENTRIES = "column long, fp long, n long, left long"
+
+
+def shared_columns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct entries of a block of columns without those of columns that one row holds: column, row, its size, what is left of it."""
     fps = [np.frombuffer(x, np.int64) for x in pdf["fps"]]
     start = np.concatenate([[0], np.cumsum([len(x) for x in fps])])
     entry = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + s for x, s in zip(pdf["at"], start, strict=False)])
-    columns = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["columns"]])
-    every = np.concatenate(fps)
-    names, first, row = np.unique(every, return_index=True, return_inverse=True)
-    sizes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ns"]])[first]
+    columns = np.frombuffer(b"".join(pdf["columns"]), np.uint64)
+    left = np.frombuffer(b"".join(pdf["left"]), np.int32).astype(np.int64)
+    names, first, row = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
+    sizes = np.frombuffer(b"".join(pdf["ns"]), np.int64)[first]
     row = row[entry]
     turn = np.lexsort((row, columns))
-    columns, row = columns[turn], row[turn]
-    new = np.ones(len(row), bool)
-    new[1:] = (columns[1:] != columns[:-1]) | (row[1:] != row[:-1])
-    return names, sizes, columns[new], row[new]
-
-
-def _counted(pairs: list[np.ndarray], names: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
-    """Overlaps by pair, without those whose sizes exclude a match."""
-    if not pairs:
-        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("kind", "a", "b", "na", "nb", "c")})
-    p = np.concatenate(pairs)
-    x, y = np.minimum(p[:, 0], p[:, 1]), np.maximum(p[:, 0], p[:, 1])
-    fit = (x != y) & (4 * np.minimum(sizes[x], sizes[y]) >= 3 * np.maximum(sizes[x], sizes[y]))
-    key, c = np.unique(x[fit] * len(names) + y[fit], return_counts=True)
-    x, y = key // len(names), key % len(names)
-    return pd.DataFrame({"kind": 0, "a": names[x], "b": names[y], "na": sizes[x], "nb": sizes[y], "c": c})
-
-
-def product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kind 0: overlaps of pairs. Kind 1: in how many small (na) and large columns (c) row a meets others. Kind 2: large column a holds row b."""
-    names, sizes, columns, row = _gathered(pdf)
-    cuts = np.concatenate([[0], np.flatnonzero(columns[1:] != columns[:-1]) + 1, [len(columns)]])
-    width = np.diff(cuts)
-    many = width > 1
-    connected = np.bincount(row[np.repeat(many, width)], minlength=len(names))
-    few = np.repeat(many & (width <= SMALL), width)
-    shared = np.bincount(row[few], minlength=len(names))  # small columns with other rows
-    crowd = np.bincount(row[np.repeat(width > SMALL, width)], minlength=len(names))
-    pairs, large = [], []
-    for w in np.unique(width[many]):
-        starts = cuts[:-1][width == w]
-        if w <= SMALL:
-            held = row[starts[:, None] + np.arange(w)]
-            i, j = np.triu_indices(w, 1)
-            pairs.append(np.column_stack([held[:, i].ravel(), held[:, j].ravel()]))
-            continue
-        for s in starts:
-            held = row[s : s + w]
-            hubs = held[np.lexsort((held, -connected[held]))[:HUBS]]
-            pairs += [np.column_stack([np.full(w, h), held]) for h in hubs]
-            large.append((columns[s], held))
-    out = [_counted(pairs, names, sizes)]
-    used = np.flatnonzero(shared + crowd)
-    out.append(pd.DataFrame({"kind": 1, "a": names[used], "b": 0, "na": shared[used], "nb": 0, "c": crowd[used]}))
-    if large:
-        rows = np.concatenate([h for _, h in large])
-        column = np.repeat(np.array([k for k, _ in large], np.uint64).view(np.int64), [len(h) for _, h in large])
-        zero = np.zeros(len(rows), np.int64)
-        out.append(pd.DataFrame({"kind": 2, "a": column, "b": names[rows], "na": zero, "nb": sizes[rows], "c": zero}))
-    return pd.concat(out, ignore_index=True)
-
-
-def crowded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Buckets of a block's columns that hold more than SMALL rows."""
-    _, _, columns, _ = _gathered(pdf)
-    found, n = np.unique(columns, return_counts=True)
-    return pd.DataFrame({"bucket": np.unique(found[n > SMALL] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)})
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the columns with one anchor, the overlaps of pairs of rows whose classes differ and that can still match."""
-    names, first = np.unique(pdf["b"].to_numpy(), return_index=True)
-    sizes, labels = pdf["nb"].to_numpy()[first], pdf["label"].to_numpy()[first]
-    rank = np.lexsort((names, sizes))
-    names, sizes, labels = names[rank], sizes[rank], labels[rank]
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.arange(len(rank))
-    row = place[np.searchsorted(np.sort(names), pdf["b"].to_numpy())]
-    _, column = np.unique(pdf["column"].to_numpy(), return_inverse=True)
-    held = np.zeros((column.max() + 1, len(names)), bool)
-    held[column, row] = True
-    ends = np.searchsorted(sizes, sizes * 4 // 3, "right")
-    # what the columns that count and are not here can still add to an overlap, and those that don't count
-    other, rest = pdf["other"].to_numpy()[first][rank] - held.sum(0), (3 * sizes + 3) // 4 - 1
-    out = []
-    for i in range(len(names) - 1):
-        j = np.arange(i + 1, ends[i])
-        j = j[labels[j] != labels[i]]
-        if len(j):
-            c = held[held[:, i]][:, j].sum(0)
-            most = c + np.minimum(other[i], other[j]) + np.maximum(rest[i], rest[j])
-            may = (c > 0) & (7 * most >= 3 * (sizes[i] + sizes[j]))
-            j, c = j[may], c[may]
-            x, y = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
-            flip = names[i] > names[j]
-            out.append(pd.DataFrame({"a": x, "b": y, "na": np.where(flip, sizes[j], sizes[i]), "nb": np.where(flip, sizes[i], sizes[j]), "c": c}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "na", "nb", "c")})
+    columns, row, left = columns[turn], row[turn], left[turn]
+    new = np.concatenate([[True], (columns[1:] != columns[:-1]) | (row[1:] != row[:-1])])
+    columns, row, left = columns[new], row[new], left[new]
+    if pdf["salt"].iloc[0] == 0:
+        alone = np.concatenate([[True], columns[1:] != columns[:-1]]) & np.concatenate([columns[1:] != columns[:-1], [True]])
+        columns, row, left = columns[~alone], row[~alone], left[~alone]
+    return pd.DataFrame({"column": columns.view(np.int64), "fp": names[row], "n": sizes[row], "left": left})
+
+
+#: Sizes allow a match (4 min >= 3 max is 7 min >= 3 sum), and so does what both sets still hold.
+_MAY = "7 * least(x.n, y.n) >= 3 * (x.n + y.n) AND 7 * least(x.left, y.left) >= 3 * (x.n + y.n)"
+
+
+def open_entries(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries of columns that hold several classes, with the row's label and the two most connected rows of different classes."""
+    if labels is None:
+        marked = entries.withColumn("label", F.col("fp"))
+    else:
+        known = _small_side(labels.withColumnRenamed("node", "fp"), labels.count())
+        marked = entries.select("column", "fp", "n", "left", "degree").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = marked.groupBy("column", "label").agg(F.max(F.struct("degree", "fp", "n", "left", "label")).alias("h"))
+    rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("h")))
+    two = first.withColumn("rank", rank).where("rank <= 2").groupBy("column").agg(*[F.max(F.when(F.col("rank") == k, F.col("h"))).alias(f"h{k}") for k in (1, 2)])
+    return marked.join(two.where("h2 IS NOT NULL"), "column")
+
+
+def with_hubs(opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows and hubs of other classes, the BEST of each row by overlap."""
+    x = F.struct("fp", "n", "left").alias("x")
+    met = opened.select(x, F.when(F.col("label") != F.col("h1.label"), F.col("h1")).otherwise(F.col("h2")).alias("y")).where(_MAY)
+    overlaps = met.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("c"), "b"))
+    found = overlaps.withColumn("rank", rank).where(F.col("rank") <= BEST)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def between_classes(opened: DataFrame) -> DataFrame:
+    """All pairs (a, b) of rows of different classes that share an open column and can still match, tile by tile."""
+    tiles = opened.groupBy("column").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiled = opened.join(tiles, "column").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    keep = ["column", "lo", "hi", "fp", "n", "left", "label"]
+    x = tiled.withColumn("lo", F.col("tile")).withColumn("hi", F.explode(F.expr("sequence(tile, tiles - 1)"))).select(*keep).alias("x")
+    y = tiled.withColumn("hi", F.col("tile")).withColumn("lo", F.explode(F.expr("sequence(0, tile)"))).select(*keep).alias("y")
+    same = F.expr(f"x.column = y.column AND x.lo = y.lo AND x.hi = y.hi AND x.label <> y.label AND (x.lo < x.hi OR x.fp < y.fp) AND {_MAY}")
+    met = x.join(y, same).select(F.expr("least(x.fp, y.fp)").alias("a"), F.expr("greatest(x.fp, y.fp)").alias("b"), F.expr("x.n + y.n").alias("both"), F.expr("least(x.left, y.left)").alias("left"))
+    # c columns are shared; the last leaves at most min(left) - 1 more
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("left").alias("left"), F.first("both").alias("both")).where("7 * (c - 1 + left) >= 3 * both").select("a", "b")
 
 
 def _small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -261,9 +270,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     def run(batches):
         for b, found in _slices(batches, 1):
-            many = list(found)
-            keep = [i for i, (s, fp) in enumerate(zip(many, b.column(0).to_pylist(), strict=True)) if fingerprint(s) == fp]  # not another row of that id
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([many[i].tobytes() for i in keep], pa.binary())], ["fp", "held"])
+            keep = [i for i, (s, fp) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if fingerprint(s) == fp]  # not another row of that id
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["fp", "held"])
 
     held = stored(texts.select("fp", "text").mapInArrow(run, "fp long, held binary").dropDuplicates(["fp"]), "sets")
 
@@ -287,46 +295,35 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = column_counts(docs)
-    blocks = int(min(100_000, max(64, int(sketch.sum(dtype=np.int64)) // (4 * BLOCK_ENTRIES))))
-    counts = spark.sparkContext.broadcast(sketch)  # 4 bytes x 2^SKETCH_BITS
-    full = texts_in_blocks(docs, counts, blocks).groupBy("block").applyInPandas(crowded, "bucket long").distinct()
-    for r in full.toLocalIterator():  # at most 2^SKETCH_BITS buckets
-        sketch[r.bucket] |= np.uint32(1 << 31)  # crowded columns go last
-    counts = spark.sparkContext.broadcast(sketch)
-    rows = stored(incidence(docs, counts), "incidence")
+    counts = column_counts(docs)
+    blocks = max(64, int(counts.sum(dtype=np.int64)) // (4 * BLOCK_ENTRIES))
+    none = np.empty(0, np.uint64)
+    order = spark.sparkContext.broadcast(Order(counts, none, none))  # 4 bytes x 2^SKETCH_BITS
+    rows = stored(incidence(docs, order), "incidence")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "set-classes")
-
-    parts = stored(in_blocks(rows, blocks).groupBy("block").applyInPandas(product, _PRODUCT), "product")
-    pairs = parts.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    wide = stored(parts.where("kind = 1").groupBy("a").agg(F.sum("c").alias("w"), F.sum("na").alias("few")).where("w > 0").withColumnRenamed("a", "fp"), "wide")
-    n_wide = wide.count()
-    for side in "ab":
-        more = _small_side(wide.select(F.col("fp").alias(side), F.col("w").alias(f"w{side}")), n_wide)
-        pairs = pairs.join(more, side, "left").fillna(0, [f"w{side}"])
-    rest = lambda n: F.expr(f"floor((3 * {n} + 3) / 4) - 1")
-    most = F.greatest(rest("na"), rest("nb"))
-    pairs = stored(pairs, "overlaps")
-    candidates = stored(pairs.where(7 * (F.col("c") + F.least("wa", "wb") + most) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), "candidates")
-    links = verified(candidates, docs, classes)
-    labels = stored(components(links), "labels")
-
-    large = parts.where("kind = 2").select("a", "b", "nb")
-    if n_wide:
-        known = _small_side(labels.withColumnRenamed("node", "b"), labels.count())
-        marked = stored(large.withColumnRenamed("a", "column").join(known, "b", "left").withColumn("label", F.coalesce("label", "b")), "large-columns")
-        # columns in which most rows are of one class go together, so that nearly all overlaps of a pair are counted in one place
-        by_label = marked.groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
-        anchors = by_label.groupBy("column").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("anchor")).where("labels > 1").select("column", "anchor")
-        opened = stored(marked.join(anchors, "column"), "open-columns")
-        others = opened.groupBy("b").agg(F.count(F.lit(1)).alias("n_open")).join(wide.withColumnRenamed("fp", "b"), "b").select("b", (F.col("n_open") + F.col("few")).alias("other"))
-        across = opened.join(others, "b").groupBy("anchor").applyInPandas(_across, "a long, b long, na long, nb long, c long")
-        again = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("large"))
-        again = again.join(pairs.select("a", "b", "c"), ["a", "b"], "left").where(7 * (F.coalesce("c", F.lit(0)) + F.col("large") + most) >= 3 * (F.col("na") + F.col("nb")))
-        again = stored(again.select("a", "b").join(candidates, ["a", "b"], "left_anti"), "candidates")
-        if again.limit(1).count():
-            links = links.unionByName(verified(again, docs, classes))
-            labels = stored(components(links), "labels")
+    hot = hot_columns(rows, counts, blocks)
+    if len(hot[0]):
+        order = spark.sparkContext.broadcast(Order(counts, *hot))  # and 16 bytes x LISTED at most
+    entries = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(shared_columns, _ENTRIES), "entries")
+    degrees = stored(entries.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    n_rows = degrees.count()
+    opened = stored(open_entries(entries.join(_small_side(degrees, n_rows), "fp"), None), "open-columns")
+
+    checked = links = labels = None
+    for _ in range(ROUNDS):
+        more = with_hubs(opened)
+        more = stored(more if checked is None else more.join(checked, ["a", "b"], "left_anti"), "candidates")
+        found = verified(more, docs, classes)
+        checked = more if checked is None else checked.unionByName(more)
+        links = found if links is None else links.unionByName(found)
+        labels = stored(components(links), "labels")
+        opened = stored(open_entries(opened, labels), "open-columns")
+        if GAIN * found.count() <= n_rows:
+            break
+    more = stored(between_classes(opened).join(checked, ["a", "b"], "left_anti"), "candidates")
+    if more.limit(1).count():
+        links = links.unionByName(verified(more, docs, classes))
+        labels = stored(components(links), "labels")
 
     linked = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")

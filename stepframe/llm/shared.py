@@ -31,16 +31,19 @@ def ship(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which driver and executors share; removed when the JVM ends.
 
-    Only where that setting is absent (as in tests) a folder of this process is made and set as checkpoint folder.
+    Only where that setting is absent and Spark runs in this one process (as in tests) a folder is made and set as checkpoint
+    folder; on a cluster its absence raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="stepframe-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jpath, _ = _filesystem(spark, path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
@@ -69,6 +72,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_slices(batches, column: int, limit: int = 4_000_000, rows: int = 2000) -> Iterator:
+    """Record batches in slices of about ``limit`` bytes of a text column and at most ``rows`` rows; a longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(max(int(np.searchsorted(ends, before + limit, "right")), at + 1), at + rows, b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def byte_chunks(texts, limit: int) -> Iterator[list[str | None]]:
     """An Arrow string array in lists of about ``limit`` bytes each; a longer text is a list of its own."""
     import pyarrow.compute as pc

@@ -55,10 +55,10 @@ def varied(seed, n_base=25):
     return out
 
 
-@pytest.mark.parametrize(("seed", "small"), [(0, 32), (1, 2), (2, 3)])
-def test_matches_brute_force(spark, monkeypatch, seed, small):
-    monkeypatch.setattr(op8, "SMALL", small)
-    monkeypatch.setattr(op8, "HUBS", 1)
+@pytest.mark.parametrize(("seed", "hot", "tile", "best"), [(0, 1 << 16, 1024, 3), (1, 4, 3, 1), (2, 2, 1, 1)])
+def test_matches_brute_force(spark, monkeypatch, seed, hot, tile, best):
+    for name, value in (("HOT", hot), ("TILE", tile), ("BEST", best)):
+        monkeypatch.setattr(op8, name, value)
     texts = [*varied(seed), None, "", "  \n", "one", "ONE", "one two", "é " * 9, *["same words in every copy of this text"] * 40]
     hub = [f"h{i}" for i in range(60)]
     texts += [" ".join(hub[: 60 - k] + [f"x{k}"] * (k > 0)) for k in range(12)]  # a chain of near copies
@@ -72,6 +72,29 @@ def test_matches_brute_force(spark, monkeypatch, seed, small):
         assert op8.one_of_each(more).columns == df.columns
 
 
+def test_pairs_to_check_grow_with_rows_and_not_with_their_square(spark, monkeypatch):
+    counted, real = [], op8.verified
+    monkeypatch.setattr(op8, "verified", lambda pairs, *rest: counted.append(pairs.count()) or real(pairs, *rest))
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(500):  # near copies of one text, and as many texts that are mostly one passage
+        words = list(base)
+        words[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+        rows.append((1000 + i, " ".join([f"y{i}.{k}" for k in range(30)] + [f"p{k}" for k in range(60)])))
+    got = op8.join_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.component_id for r in got if r.doc_id < 1000} == {0} and all(r.component_id == r.doc_id for r in got if r.doc_id >= 1000)
+    assert sum(counted) < 4 * len(rows)
+
+
+def test_one_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " and more"), (3, long[: len(long) // 2])]
+    got = sorted(tuple(r) for r in op8.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(r[0], r[2]) for r in got] == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_empty_table(spark):
     assert op8.join_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
