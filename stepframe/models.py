@@ -1,4 +1,4 @@
-"""Small example components: two organs' metabolisms on one table of vertices and a soil that answers them."""
+"""Small example components: stored starch and taken-up nitrate of organs, and a pool of water that they draw on."""
 
 from __future__ import annotations
 
@@ -6,77 +6,72 @@ from dataclasses import dataclass
 
 from stepframe.operators.component import Component
 from stepframe.plans.catalog import declare
-from stepframe.plans.schedule import actual, potential, rate, state
+from stepframe.plans.schedule import axial, rate, state, totalstate
 
 
-def _variable(kind: str, state_kind: str = "", by: str = ""):
-    return declare("", "", "", "", "", "", "", "", kind, by, state_kind, "user", default=0.0)
+def _variable(kind: str, state_kind: str = "", by: str = "", default: float = 0.0, unit: str = "-", about: str = ""):
+    return declare(unit, "", about, "", "", "", "", "", kind, by, state_kind, "user", default=default)
 
 
 @dataclass(init=False)
-class Carbon(Component):
-    amino_acids: float = _variable("input", by="N_model")
-    temperature: float = _variable("input", by="temperature_model")
-    hexose: float = _variable("state_variable", "massic_concentration")
-    sucrose: float = _variable("state_variable", "massic_concentration")
-    hexose_exudation: float = _variable("state_variable", "NonInertialExtensive")
-    sucrose_unloading: float = _variable("state_variable", "NonInertialExtensive")
-    length: float = _variable("state_variable", "NonInertialExtensive")
+class Starch(Component):
+    nitrate: float = _variable("input", by="mineral", unit="mol/g")
+    light: float = _variable("input", by="weather", default=4.0, unit="W/m2")
+    starch: float = _variable("state_variable", "massic_concentration", default=2.0, unit="mol/g", about="starch that is stored")
+    gain: float = _variable("state_variable", "NonInertialExtensive", unit="mol/s")
+    vigour: float = _variable("state_variable", "intensive", default=1.0)
+    shade: float = _variable("state_variable", "NonInertialIntensive")
+    surface: float = _variable("state_variable", "extensive", default=0.5, unit="m2")
+    rank: float = _variable("state_variable", "descriptor")
+    efficiency: float = _variable("parameter", default=0.25)
+    reserve: float = _variable("plant_scale_state", unit="mol")
 
     @rate
-    def _hexose_exudation(self, hexose):
-        return hexose + 1
+    def _gain(self, light, nitrate, shade):
+        return self.efficiency * light * (1.0 - shade) + 0.5 * nitrate
 
-    @rate
-    def _sucrose_unloading(self, sucrose):
-        return 1.0
-
-    @actual
     @state
-    def _hexose(self, hexose, hexose_exudation, struct_mass):
-        return hexose + (self.time_step / struct_mass) * hexose_exudation
+    def _starch(self, starch, gain, struct_mass):
+        return starch + self.time_step * gain / (struct_mass + 1000.0)
 
-    @potential
-    @state
-    def _sucrose(self, sucrose):
-        return 1.0
+    @axial
+    def _shade(self, surface):
+        return 0.125 if surface > 1.0 else 0.0
 
+    @totalstate
+    def _reserve(self, starch):
+        return sum(starch.values())
 
-@dataclass(init=False)
-class Nitrogen(Component):
-    hexose: float = _variable("input", by="N_model")
-    temperature: float = _variable("input", by="temperature_model")
-    amino_acids: float = _variable("state_variable", "massic_concentration")
-    amino_acids_exudation: float = _variable("state_variable", "NonInertialExtensive")
-    amino_acids_unloading: float = _variable("state_variable", "NonInertialExtensive")
-    length: float = _variable("state_variable", "NonInertialExtensive")
 
-    @rate
-    def _amino_acids_exudation(self, amino_acids):
-        return amino_acids + 1
+@dataclass(init=False)
+class Mineral(Component):
+    starch: float = _variable("input", by="starch", unit="mol/g")
+    water: float = _variable("input", by="pool", unit="g")
+    nitrate: float = _variable("state_variable", "massic_concentration", default=1.0, unit="mol/g")
+    uptake: float = _variable("state_variable", "NonInertialExtensive", unit="mol/s")
 
     @rate
-    def _amino_acids_unloading(self, amino_acids):
-        return 1.0
+    def _uptake(self, nitrate):
+        return max(3.0 - nitrate, 0.0)
 
     @state
-    def _amino_acids(self, amino_acids, amino_acids_exudation, struct_mass):
-        return amino_acids + (self.time_step / struct_mass) * amino_acids_exudation
+    def _nitrate(self, nitrate, uptake):
+        return nitrate + 0.25 * uptake
 
 
 @dataclass(init=False)
-class SoilModel(Component):
-    amino_acids_exudation: float = _variable("input", by="N_model")
-    hexose_exudation: float = _variable("input", by="C_model")
-    DOC: float = _variable("state_variable", "massic_concentration", by="soil_model")
+class Pool(Component):
+    uptake: float = _variable("input", by="mineral", unit="mol/s")
+    water: float = _variable("state_variable", "extensive", by="pool", default=64.0, unit="g")
 
     @state
-    def _DOC(self, DOC, hexose_exudation):
-        return DOC + self.time_step * hexose_exudation
+    def _water(self, water, uptake):
+        return water - 0.5 * uptake
 
 
+COMPONENTS = {"Starch": Starch, "Mineral": Mineral, "SoilModel": Pool}
 TRANSLATOR = {
-    "Carbon": {"Nitrogen": {"amino_acids": {"amino_acids": 1.0}}, "SoilModel": {}},
-    "Nitrogen": {"Carbon": {"hexose": {"hexose": 1.0}}, "SoilModel": {}},
-    "SoilModel": {"Carbon": {"hexose_exudation": {"hexose_exudation": 1.0}}, "Nitrogen": {"amino_acids_exudation": {"amino_acids_exudation": 1.0}}},
+    "Starch": {"Mineral": {"nitrate": {"nitrate": 1.0}}, "SoilModel": {}},
+    "Mineral": {"Starch": {"starch": {"starch": 1.0}}, "SoilModel": {"water": {"water": 1.0}}},
+    "SoilModel": {"Mineral": {"uptake": {"uptake": 1.0}}},
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +90,10 @@ class Component:
 
     def pull(self, df: DataFrame) -> DataFrame:
         """Inputs from other columns: weighted sums, where the first source has a value."""
-        made = {}
-        for name, sources in self.pullable_inputs.items():
+        made, entries = {}, {}
+        for name, sources in self.pullable_inputs.items():  # a subcategory holds inputs of its own
+            entries |= sources if any(isinstance(k, Mapping) for k in sources.values()) else {name: sources}
+        for name, sources in entries.items():
             terms = [F.col(s) * F.lit(float(k)) for s, k in sources.items()]
             made[name] = F.when(F.col(next(iter(sources))).isNotNull(), functools.reduce(lambda a, b: a + b, terms, F.lit(0.0)))
         return df.withColumns(made) if made else df

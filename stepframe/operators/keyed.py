@@ -79,8 +79,9 @@ def indices_of(df: DataFrame, wanted: DataFrame, key: str = "vid", strict: bool
 
 
 def upsert(df: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of ``changes`` replace or join those of ``df``."""
-    return df.alias("b").join(changes.alias("u"), "vid", "full_outer").select("vid", F.when(F.col("u.v").isNotNull(), F.col("u.v")).otherwise(F.col("b.v")).alias("v"))
+    """Rows of ``changes`` replace or join those of ``df``; a change to null is a change."""
+    new = changes.select("vid", F.col("v").alias("__new"), F.lit(True).alias("__given"))
+    return df.join(new, "vid", "full_outer").select("vid", F.when(F.col("__given"), F.col("__new")).otherwise(F.col("v")).alias("v"))
 
 
 def set_item(df: DataFrame, key: int, value: float) -> DataFrame:
@@ -123,17 +124,17 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
 
 
 def scatter(df: DataFrame, changes: DataFrame, strict: bool = True) -> DataFrame:
-    """New values for keys that are there."""
+    """New values, null among them, for keys that are there."""
     if strict and changes.join(df, "vid", "left_anti").take(1):
         raise KeyError("a key isn't there")
-    new = changes.select("vid", F.col("v").alias("__new"))
-    return df.join(new, "vid", "left").select("vid", F.coalesce("__new", "v").alias("v"))
+    new = changes.select("vid", F.col("v").alias("__new"), F.lit(True).alias("__given"))
+    return df.join(new, "vid", "left").select("vid", F.when(F.col("__given"), F.col("__new")).otherwise(F.col("v")).alias("v"))
 
 
 def assign_at(df: DataFrame, changes: DataFrame) -> DataFrame:
     """New values by position: ``changes`` (idx, v)."""
-    new = changes.select(F.col("idx").cast("long").alias("idx"), F.col("v").alias("__new"))
-    return positions(df).join(new, "idx", "left").select("vid", F.coalesce("__new", "v").alias("v"))
+    new = changes.select(F.col("idx").cast("long").alias("idx"), F.col("v").alias("__new"), F.lit(True).alias("__given"))
+    return positions(df).join(new, "idx", "left").select("vid", F.when(F.col("__given"), F.col("__new")).otherwise(F.col("v")).alias("v"))
 
 
 def assign_all(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -147,6 +148,21 @@ def assign_scalar(df: DataFrame, value: float | Column) -> DataFrame:
     return df.withColumn("v", value if isinstance(value, Column) else F.lit(float(value)))
 
 
+def length(df: DataFrame) -> DataFrame:
+    """One row (n): how many keys there are."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The keys of ``a`` that ``b`` lacks."""
+    return a.select("vid").distinct().join(b.select("vid"), "vid", "left_anti")
+
+
+def short_hash(text: Column) -> Column:
+    """The first 16 hexadecimal digits of a text's SHA-1."""
+    return F.substring(F.sha1(text), 1, 16)
+
+
 def check_invariant(df: DataFrame) -> DataFrame:
     """One row (ok): whether every key occurs once."""
     per_key = df.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))

@@ -13,10 +13,13 @@ MOST_REFERENCES = 10_000
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set one of our own only where there is none."""
+    """Use the shared folder that the cluster names; set one of our own only where there is none and Spark runs in this one process."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stepframe-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,17 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepframe.functions.numerics import maximum, minimum, temperature_modification
-from stepframe.models import TRANSLATOR, Carbon, Nitrogen, SoilModel
+from stepframe.models import TRANSLATOR, Mineral, Pool, Starch
 from stepframe.operators import coupling, keyed, scene
 from stepframe.operators.component import Component
 from stepframe.operators.forcing import apply_tables, owners
 from stepframe.plans import catalog, schedule
 from stepframe.plans.runtime import loop
-from stepframe.plans.schedule import axial, potential, priorbalance, rate, state, stepinit, totalstate
-from stepframe.queries import _assembly, _var
+from stepframe.plans.schedule import actual, axial, potential, priorbalance, rate, state, stepinit, totalstate
+from stepframe.queries import _var
 from stepframe.sources import tables
 
-#: Golden trace of the coupled example (one vertex, 3600 s, mass 0.001): hexose and DOC after each step (fixed values).
+#: Golden trace of a level that grows by itself and what it gives off (one vertex, 3600 s, mass 0.001): both after each step (fixed values).
 TRACE = [
     (3600000.0, 3600.0),
     (12960007200000.0, 12960007200.0),
@@ -27,30 +27,61 @@ TRACE = [
 ]
 
 
+@dataclass(init=False)
+class Level(Component):
+    level: float = _var("state_variable", "massic_concentration")
+    out: float = _var("state_variable", "NonInertialExtensive")
+
+    @rate
+    def _out(self, level):
+        return 1 + level
+
+    @actual
+    @state
+    def _level(self, out, level, struct_mass):
+        return level + self.time_step / struct_mass * out
+
+
+@dataclass(init=False)
+class Sink(Component):
+    out: float = _var("input", "")
+    caught: float = _var()
+
+    @state
+    def _caught(self, out, caught):
+        return caught + self.time_step * out
+
+
 def vertex_table(spark, rows):
     return spark.createDataFrame(rows, "vid long, struct_mass double, label int, type int")
 
 
 def test_single_component(spark):
-    c = Carbon()
+    c = Level()
     df = c.step(c.link(vertex_table(spark, [(1, 0.001, 2, 7), (2, 0.001, 2, 5), (3, float("nan"), 1, 1), (4, 0.0, 1, 1), (5, None, 1, 1)])))
-    got = {r.vid: (r.hexose, r.sucrose, r.hexose_exudation) for r in df.collect()}
-    assert got[1] == (3.6e6, 1.0, 1.0) and all(got[k] == (0.0, 0.0, 0.0) for k in (2, 3, 4, 5))
+    got = {r.vid: (r.level, r.out) for r in df.collect()}
+    assert got[1] == (3.6e6, 1.0) and all(got[k] == (0.0, 0.0) for k in (2, 3, 4, 5))
 
 
 def test_assembly_follows_the_golden_trace(spark):
-    got = sorted(_assembly(spark, 6).collect())
-    assert [(r.h, r.doc) for r in got[1:]] == TRACE
+    level, sink, model = Level(), Sink(), coupling.Composite()
+    df = level.link(vertex_table(spark, [(1, 0.001, 2, 7)]))
+    model.declare_data_and_couple_components({"Level": level, "SoilModel": sink}, {"SoilModel": {"Level": {"out": {"out": 1.0}}}}, root=sink.link(df, ignore=["out"]))
+    got = []
+    for _ in TRACE:
+        model.run()
+        got.append(tuple(model.data["root"].select("level", "caught").first()))
+    assert got == TRACE
 
 
 def test_selectors_and_report(spark):
-    c = Carbon()
-    assert c.massic_concentration == ["hexose", "sucrose"] and c.inputs == ["amino_acids", "temperature"]
-    assert c.non_inertial_variables == ["hexose_exudation", "sucrose_unloading", "length"] == c.non_inertial_extensive
-    assert c.extensive_variables == c.intensive_variables == c.descriptor == c.parameter == c.plant_scale_state == c.non_inertial_intensive == []
-    assert len(c.state_variables) == 5 and catalog.struct_type(c)["hexose"].metadata["variable_type"] == "state_variable"
-    text = catalog.report(spark, [Carbon, Nitrogen], {"variable_type": ["input"]})
-    assert text.count("\n") == 7 and text.startswith("Carbon")
+    c = Starch()
+    assert c.massic_concentration == ["starch"] and c.inputs == ["nitrate", "light"]
+    assert c.non_inertial_variables == ["gain", "shade"] and c.non_inertial_extensive == ["gain"]
+    assert Mineral().extensive_variables == Mineral().intensive_variables == Mineral().descriptor == Mineral().parameter == Mineral().plant_scale_state == Mineral().non_inertial_intensive == []
+    assert len(c.state_variables) == 6 and catalog.struct_type(c)["starch"].metadata["variable_type"] == "state_variable"
+    text = catalog.report(spark, [Starch, Mineral], {"variable_type": ["input"]})
+    assert text.count("\n") == 7 and text.startswith("Mineral")
     long = catalog.declare("u", "", "d" * 95, "", "", "", "", "", "parameter", "", "", "user", default=1.0)
     made = dataclass(init=False)(type("Long", (Component,), {"__annotations__": {"p": float}, "p": long}))
     assert "d" * 87 + "..." in catalog.report(spark, [made])
@@ -71,7 +102,7 @@ def test_default_order():
         "potential", "deficit", "allocation", "actual", "segmentation", "postsegmentation", "axial", "stepinit", "rate", "totalrate", "state", "totalstate", "priorbalance", "selfbalance",
     ]
     assert schedule.ordered(found) == schedule.ordered(found, as_text=True)
-    assert [v for v, _ in Carbon().groups] == [(0, 2, 0, 0), (0, 4, 0, 1), (0, 4, 0, 4)]
+    assert [v for v, _ in Level().groups] == [(0, 2, 0, 0), (0, 4, 0, 4)]
     other = schedule.ordered(found, (("rate",), ("state",)))
     assert other[0][0] == (0, 0) and [p.name for p in other[1][1]] == ["state"]
 
@@ -132,6 +163,53 @@ def test_processes_totals_hooks_and_inheritance(spark):
     assert {r.a for r in none.step(none.link(df)).collect()} == {2.0}
 
 
+@dataclass(init=False)
+class Bodies(Component):
+    k = 2.0
+
+    @rate
+    def _branch(self, struct_mass):
+        x = self.k * struct_mass
+        if x > 10:
+            return x
+        return -x if x > 4 else max(x, 0.0) / struct_mass
+
+    @rate
+    def _pair(self, struct_mass) -> tuple[float, str, float]:
+        if int(struct_mass) % 2:
+            return 1.0, "left", struct_mass
+        return 0.0, "left", -struct_mass
+
+    @totalstate
+    def _spread(self, struct_mass):
+        return max(struct_mass.values()) - min(struct_mass.values())
+
+    @totalstate
+    def _middle(self, struct_mass):
+        return sorted(struct_mass.values())[len(struct_mass) // 2]
+
+
+def test_python_bodies(spark):
+    df = vertex_table(spark, [(1, 1.0, 1, 1), (2, 3.0, 1, 1), (3, 6.0, 1, 1), (4, 0.0, 1, 1)])
+    got = {r.vid: r for r in Bodies().step(df).collect()}
+    assert [got[k].branch for k in (1, 2, 3, 4)] == [2.0, -6.0, 12.0, None]
+    assert [(got[k].pair, got[k].left) for k in (1, 2, 3, 4)] == [(1.0, 1.0), (1.0, 3.0), (0.0, -6.0), (None, None)]
+    assert got[1].spread == 6.0 and got[1].middle == 3.0 and got[2].middle is None
+
+    @rate
+    def _disagree(self, struct_mass) -> tuple[float, str, float]:
+        return (1.0, "a", 1.0) if int(struct_mass) else (1.0, "b", 1.0)
+
+    with pytest.raises(TypeError):
+        type("Disagree", (Component,), {"_disagree": _disagree})().step(df)
+
+
+def test_updates_to_null(spark):
+    d, none = keyed.column(spark, {1: 1.0, 2: 2.0}), keyed.column(spark, {1: None})
+    assert keyed.to_dict(keyed.upsert(d, none)) == keyed.to_dict(keyed.scatter(d, none)) == {1: None, 2: 2.0}
+    assert keyed.to_dict(keyed.assign_at(d, spark.createDataFrame([(1, None)], "idx long, v double"))) == {1: 1.0, 2: None}
+
+
 def test_totals_by_plant(spark):
     df = spark.createDataFrame([("p", 1, 1.0, 1, 1), ("p", 2, 2.0, 1, 1), ("q", 1, 5.0, 1, 1)], "plant string, vid long, struct_mass double, label int, type int")
     c = Base()
@@ -145,9 +223,8 @@ def test_scenario_and_linking(spark):
         c = Base(unknown=1, a=7.0)
     df = c.link(vertex_table(spark, [(1, 1.0, 1, 1), (2, 1.0, 1, 1)]).withColumn("b", F.lit(5.0)), ignore=["b"])
     assert {(r.a, r.b) for r in df.collect()} == {(7.0, 5.0)}
-    s = SoilModel()
-    part = vertex_table(spark, [(1, 1.0, 1, 1), (2, 1.0, 1, 1)]).withColumns({"hexose_exudation": F.when(F.col("vid") == 1, 3.0), "amino_acids_exudation": F.lit(4.0)})
-    assert sorted((r.hexose_exudation, r.amino_acids_exudation) for r in s.link(part).collect()) == [(0.0, 4.0)] * 2
+    part = vertex_table(spark, [(1, 1.0, 1, 1), (2, 1.0, 1, 1)]).withColumns({"water": F.when(F.col("vid") == 1, 3.0), "starch": F.lit(4.0)})
+    assert sorted((r.water, r.starch) for r in Mineral().link(part).collect()) == [(0.0, 4.0)] * 2
 
 
 def test_coupling(spark):
@@ -162,9 +239,9 @@ def test_coupling(spark):
     assert c.aliases == {"y": "z"} and c.pullable_inputs == {"u": {"v": 0.5}, "w": {"p": 1.0, "q": 3.0}}
     df = spark.createDataFrame([(1, 4.0, 1.0, 2.0), (2, None, None, 2.0)], "vid long, v double, p double, q double")
     assert sorted(((r.vid, r.u, r.w) for r in c.pull(df).collect())) == [(1, 2.0, 7.0), (2, None, None)]
-    ins, outs = coupling.inputs_outputs(coupling.edge_table(spark, TRANSLATOR), "Carbon")
-    assert {r.name for r in ins.collect()} == {"amino_acids"} and {r.name for r in outs.collect()} == {"hexose", "hexose_exudation"}
-    assert coupling.suggest({"C": Carbon(), "N": Nitrogen()}) == {"C": {"N": {"amino_acids": {"amino_acids": 1.0}}}, "N": {"C": {"hexose": {"hexose": 1.0}}}}
+    ins, outs = coupling.inputs_outputs(coupling.edge_table(spark, TRANSLATOR), "Mineral")
+    assert {r.name for r in ins.collect()} == {"starch", "water"} and {r.name for r in outs.collect()} == {"nitrate", "uptake"}
+    assert coupling.suggest({"S": Starch(), "P": Pool(), "M": Mineral()})["M"] == {"S": {"starch": {"starch": 1.0}}, "P": {"water": {"water": 1.0}}}
 
 
 def test_forcing(spark, tmp_path):
@@ -175,7 +252,7 @@ def test_forcing(spark, tmp_path):
     assert {r.temperature for r in apply_tables(df, table, 0, ["temperature"], fill=True).collect()} == {20.0}
     with pytest.raises(KeyError):
         apply_tables(df, table, 9, ["temperature"])
-    assert owners({"C": Carbon(), "N": Nitrogen()}, ["t", "temperature", "hexose"]) == {"root": ["temperature", "hexose"]}
+    assert owners({"S": Starch(), "M": Mineral()}, ["t", "light", "starch"]) == {"root": ["light", "starch"]}
 
 
 def test_numerics(spark):
@@ -276,3 +353,10 @@ def test_streamed_steps(spark, tmp_path):
     stream = spark.readStream.schema("t int, temperature double").parquet(str(tmp_path / "in"))
     run.start(stream, str(tmp_path / "check")).awaitTermination(120)
     assert {r.vid: r["sum"] for r in run.state.collect()} == {1: 30.0, 2: 0.0} and run.done == 2
+    kept = StreamedRun(run.state, run.step, str(tmp_path / "kept"))
+    forcing = spark.createDataFrame([(3, 5.0)], "t int, temperature double")
+    kept.batch(forcing, 0)
+    again = StreamedRun(spark.createDataFrame([(9, 0.0)], "vid long, temperature double"), run.step, str(tmp_path / "kept"))
+    again.batch(forcing, 0)  # replayed after a restart
+    again.batch(spark.createDataFrame([(4, 1.0)], "t int, temperature double"), 1)
+    assert {r.vid: r["sum"] for r in again.state.collect()} == {1: 36.0, 2: 0.0} and again.done == 4
