@@ -9,7 +9,8 @@ candidates are verified by comparing shingles as words. The index is sent to the
 ``BLOCK_HASHES`` hashes, one pass over the documents for each block, so a large benchmark costs passes, not memory. There is no shuffle
 and no group: a passage in a third of all documents is found row by row.
 
-Words as in ``shingles``; items or documents with fewer than five words are one shingle, so they match only each other.
+Words as in ``shingles``. An item of fewer than five words is one shingle of its own length, looked for among the documents'
+shingles of that length.
 Null or wordless texts and items match nothing. Repeated rows are searched each; empty tables give no rows; extra columns
 are not read by the search and kept by the filter.
 """
@@ -24,28 +25,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.shared import ship
-from stepframe.llm.shingles import sets
+from stepframe.llm.shared import byte_slices, ship
+from stepframe.llm.shingles import shingles, words
 
 BLOCK_HASHES = 4_000_000
-SLICE = 2000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 
-def shingle_words(text: str | None) -> set[tuple[str, ...]]:
+def shingle_words(text: str | None, size: int = 5) -> set[tuple[str, ...]]:
+    """The shingles of a text; of one with fewer words, the whole."""
     w = _WORD.findall((text or "").translate(_LOWER))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
 class Index:
     """Sketches of a block of items: for each partition, sorted hashes and the item of each."""
 
-    def __init__(self, items: list[tuple[int, str, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, str, np.ndarray, int]]):
         self.items = items
+        self.short: dict[int, dict[int, list[int]]] = {}  # words -> hash -> items
         parts: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for i, (_, _, s) in enumerate(items):
+        for i, (_, _, s, n_words) in enumerate(items):
             n = len(s)
+            if n_words < 5:
+                self.short.setdefault(n_words, {}).setdefault(int(s[0]), []).append(i)
+                continue
             parts.setdefault(n.bit_length(), []).append((s[: n // 4 + 1], i))  # sets are sorted by hash: the bottom k
         self.parts = []
         for held in parts.values():
@@ -58,8 +63,15 @@ class Index:
             self.parts.append((least, hashes[turn], owner[turn], bits))
         self.words: dict[int, set] = {}
 
-    def candidates(self, held: np.ndarray) -> set[int]:
+    def candidates(self, words: np.ndarray) -> set[int]:
         found: set[int] = set()
+        for size, known in self.short.items():
+            if len(words) >= size:
+                for h in set(shingles(words, size).tolist()) & known.keys():
+                    found.update(known[h])
+        if len(words) < 5 or not self.parts:
+            return found
+        held = np.unique(shingles(words))
         for least, hashes, owner, bits in self.parts:
             if len(held) < least:
                 continue
@@ -69,14 +81,16 @@ class Index:
                 found.update(owner[a:b].tolist())
         return found
 
-    def matches(self, held: np.ndarray, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, its shingles, how many the text holds) for each item found."""
-        out, own = [], None
-        for i in sorted(self.candidates(held)):
-            own = shingle_words(text) if own is None else own
+    def matches(self, words: np.ndarray, text) -> list[tuple[int, int, int]]:
+        """(item_id, its shingles, how many the text holds) for each item found in a text (of Arrow) with these words."""
+        out, own = [], {}
+        for i in sorted(self.candidates(words)):
+            size = min(5, self.items[i][3])
+            if size not in own:
+                own[size] = shingle_words(text.as_py(), size)
             if i not in self.words:
                 self.words[i] = shingle_words(self.items[i][1])
-            n, both = len(self.words[i]), len(self.words[i] & own)
+            n, both = len(self.words[i]), len(self.words[i] & own[size])
             if 4 * both >= 3 * n:
                 out.append((self.items[i][0], n, both))
         return out
@@ -84,27 +98,27 @@ class Index:
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
     """The items in blocks whose sketches and sets stay within BLOCK_HASHES hashes."""
-    held: list[tuple[int, str, np.ndarray]] = []
+    held: list[tuple[int, str, np.ndarray, int]] = []
     size = 0
     for r in benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).toLocalIterator():
-        s = next(sets(pa.array([r.t], pa.large_string())))
-        if not len(s):
+        own = words(pa.array([r.t], pa.large_string()))[0]
+        if not len(own):
             continue
+        s = np.unique(shingles(own))
         if held and size + len(s) > BLOCK_HASHES:
             yield Index(held)
             held, size = [], 0
-        held.append((r.k, r.t, s))
+        held.append((r.k, r.t, s, len(own)))
         size += len(s)
     if held:
         yield Index(held)
 
 
 def _searched(batches, index: Index, column: int):
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            part = b.slice(at, SLICE)
-            texts = part.column(column)
-            yield part, [index.matches(s, texts[i].as_py()) if len(s) else [] for i, s in enumerate(sets(texts))]
+    for part in byte_slices(batches, column):
+        texts = part.column(column)
+        hashes, at = words(texts)
+        yield part, [index.matches(hashes[lo:hi], texts[i]) if hi > lo else [] for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

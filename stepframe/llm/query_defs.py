@@ -112,7 +112,12 @@ ORACLE_SQL: dict[str, str] = {
         b AS ({_SHINGLES.format(key="item_id", table="benchmark", words=_WORDS.format(text="text"))}),
         n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
         SELECT doc_id, item_id, n_shingles, count(*) AS n_common
-        FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 4 * count(*) >= 3 * n_shingles
+        FROM d JOIN b USING (s) JOIN n USING (item_id) WHERE len(string_split(s, ' ')) >= 5
+        GROUP BY doc_id, item_id, n_shingles HAVING 4 * count(*) >= 3 * n_shingles
+        UNION ALL
+        SELECT doc_id, item_id, 1, 1
+        FROM (SELECT doc_id, ' ' || array_to_string({_WORDS.format(text="text")}, ' ') || ' ' AS t FROM documents)
+        JOIN (SELECT item_id, any_value(s) AS s FROM b GROUP BY item_id HAVING max(len(string_split(s, ' '))) < 5) ON contains(t, ' ' || s || ' ')
     """,
     "op1_mtree_top_k": """
         WITH v AS (
