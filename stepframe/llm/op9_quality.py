@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.shared import ship
+from stepframe.llm.shared import byte_slices, ship
 from stepframe.llm.shingles import words
 
 SAMPLE_DOCS = 8_000
@@ -26,7 +26,9 @@ RELATIONS = 64
 WIDTH = HASHED + RELATIONS + 1
 MARGIN = -1.5
 FEW = 60
-SLICE = 1000
+#: Bytes and rows of texts that are described together, and changes of character class that are counted together in a long one.
+SLICE_BYTES, SLICE = 2_000_000, 1000
+STRETCH = 4_000_000
 #: Frequent short words of the corpus' languages (fixed values).
 STOPWORDS = (
     "the of and to in a is that for it was with as on be at by this are or from der die und den von zu das mit sich des auf für ist im dem nicht ein eine "
@@ -37,14 +39,14 @@ BAD_ONLY = 5
 LABELLERS = ("capitals", "symbols", "repeats", "variety", "pipes", "function_words", "full_stops")
 
 #: Letters and digits by class, other ASCII characters each its own.
-_CLASS = np.arange(256, dtype=np.int64)
+_CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 97, 65, 48, 97
 _OTHER = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) not in ".,|" for i in range(256)])
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    ends = bounds.tolist()
+    return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
 
 
 def described(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +90,17 @@ def described(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     votes[n_words == 0] = -1
 
     features = np.zeros((n, WIDTH), np.float32)
-    byte_doc = np.repeat(np.arange(n), np.diff(bounds))
     fresh = np.ones(len(raw), bool)
-    fresh[1:] = (kind[1:] != kind[:-1]) | (byte_doc[1:] != byte_doc[:-1])
-    c, d = kind[fresh], byte_doc[fresh]
-    if len(c) > 2:
+    fresh[1:] = kind[1:] != kind[:-1]
+    inside = bounds[:-1]
+    fresh[inside[inside < len(raw)]] = True  # a text begins anew
+    at_fresh = np.flatnonzero(fresh)
+    for lo in range(0, len(at_fresh) - 2, STRETCH):
+        places = at_fresh[lo : lo + STRETCH + 2]
+        c, d = kind[places].astype(np.int64), np.searchsorted(bounds, places, "right") - 1
         same = d[2:] == d[:-2]
         code = ((c[:-2] * 263 + c[1:-1]) * 263 + c[2:]) * 2654435761 % 4294967291 % HASHED
-        features[:, :HASHED] = np.bincount(d[2:][same] * HASHED + code[same], minlength=n * HASHED).reshape(n, HASHED)
+        features[:, :HASHED] += np.bincount(d[2:][same] * HASHED + code[same], minlength=n * HASHED).reshape(n, HASHED)
     if len(hashes):
         state = seen * 4 + repeat * 2 + stop
         pair = state.copy()
@@ -125,11 +130,10 @@ def vote_patterns(docs: DataFrame) -> dict[tuple[int, ...], int]:
     """How often each pattern of votes occurs over all documents."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                code = ((described(b.column(0).slice(at, SLICE))[0] + 1) @ (3 ** np.arange(len(LABELLERS)))).astype(np.int64)
-                found, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
+        for b in byte_slices(batches, 0, SLICE_BYTES, SLICE):
+            code = ((described(b.column(0))[0] + 1) @ (3 ** np.arange(len(LABELLERS)))).astype(np.int64)
+            found, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
 
     rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return {tuple(int(r.code) // 3**j % 3 - 1 for j in range(len(LABELLERS))): r.n for r in sorted(rows)}
@@ -170,31 +174,28 @@ def fit_scorer(features: np.ndarray, good: np.ndarray, steps: int = 300, rate: f
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     ship(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("text"))
+    # rows that share a place in the sample's order are equal in key and text, so the sample is the same in every run
+    rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text"))
     posterior, _ = label_model(vote_patterns(rows))
     cut = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if cut is None:
         return np.zeros(WIDTH)
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                votes, features = described(b.column(0).slice(at, SLICE))
-                p = np.where(wordless(features), 0.0, [posterior.get(tuple(v), 0.0) for v in votes.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([f.tobytes() for f in features], pa.binary())], ["good", "f"])
+        for b in byte_slices(batches, 0, SLICE_BYTES, SLICE):
+            votes, features = described(b.column(0))
+            p = np.where(wordless(features), 0.0, [posterior.get(tuple(v), 0.0) for v in votes.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([f.tobytes() for f in features], pa.binary())], ["good", "f"])
 
-    held = rows.where(F.col("h") <= F.lit(cut)).select("text").limit(2 * SAMPLE_DOCS).mapInArrow(run, "good double, f binary").collect()
+    held = rows.where(F.col("h") <= F.lit(cut)).select("text").limit(SAMPLE_DOCS).mapInArrow(run, "good double, f binary").collect()
     x = np.frombuffer(b"".join(bytes(r.f) for r in held), np.float32).reshape(len(held), WIDTH)
     order = np.lexsort((x[:, : 64].sum(1), [r.good for r in held]))  # the same sums whatever order rows come in
     return fit_scorer(x[order].astype(np.float64), np.array([r.good for r in held])[order])
 
 
 def _margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    out = [np.empty(0)]
-    for at in range(0, len(texts), SLICE):
-        _, features = described(texts.slice(at, SLICE))
-        out.append(np.where(wordless(features), -np.inf, features @ weights))
-    return np.concatenate(out)
+    _, features = described(texts)
+    return np.where(wordless(features), -np.inf, features @ weights)
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +203,7 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
     weights = weights.astype(np.float64)
 
     def run(batches):
-        for b in batches:
+        for b in byte_slices(batches, 1, SLICE_BYTES, SLICE):
             m = _margins(b.column(1), weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(1 / (1 + np.exp(-np.clip(m, -50, 50))), 6)), pa.array(m >= MARGIN)], ["doc_id", "score", "keep"])
 
@@ -218,7 +219,7 @@ def good_only(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     weights, at = train(docs, key, text), docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in byte_slices(batches, at, SLICE_BYTES, SLICE):
             yield b.filter(pa.array(_margins(b.column(at), weights) >= MARGIN))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,9 +26,9 @@ def test_containment_matches_brute_force(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = []
     for d, t, _ in [*rows, rows[4]]:
-        own = op4.shingle_words(t)
         for i, it in items:
             s = op4.shingle_words(it)
+            own = op4.shingle_words(t, min(5, len((it or "").split())) or 5)
             if s and 4 * len(s & own) >= 3 * len(s):
                 want.append((d, i, len(s), len(s & own)))
     assert sorted(tuple(r) for r in op4.find(docs, bench).collect()) == sorted(want) and len(want) > 40
@@ -58,6 +58,60 @@ def test_classifier_agrees_with_held_out_labels(spark, labelled):
     assert op9.classify(docs.limit(0)).count() == 0
 
 
+def test_classifier_treats_equal_rows_alike_and_takes_long_texts(spark, labelled):
+    rows = [(i, t) for i, t, _ in labelled[:150]]
+    long = " ".join(t for _, t, q in labelled if q == 1 and t)
+    docs = spark.createDataFrame([*rows, *rows[:40], (-5, long * (3_000_000 // len(long) + 1)), *[(None, t) for _, t in rows[:30]]], "doc_id long, text string")
+    one, two = ([tuple(r) for r in op9.classify(d).collect()] for d in (docs, docs.repartition(5)))
+    assert sorted(one, key=str) == sorted(two, key=str) and len(one) == 221
+    score = {}
+    for i, x, keep in one:
+        if i is not None:
+            assert score.setdefault(i, (x, keep)) == (x, keep)
+    assert score[-5][1]
+
+
+def test_features_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["", "Some WORDS, and 12 more.", None, "a|b|c " * 300, "é è 3", "x", " "])
+    votes, features = op9.described(texts)
+    monkeypatch.setattr(op9, "STRETCH", 7)
+    again = op9.described(texts)
+    assert (votes == again[0]).all() and (features == again[1]).all()
+    for i in range(len(texts)):
+        alone = op9.described(texts.slice(i, 1))
+        assert (alone[0][0] == votes[i]).all() and np.array_equal(alone[1][0], features[i])
+
+
+def brute_posteriors(patterns, steps=100):
+    """The label model, vote by vote, in plain Python."""
+    n, j_all = sum(patterns.values()), range(len(op9.LABELLERS))
+    table = {(j, c): ([0.65, 0.34, 0.01] if c == 0 else [0.97, 0.02, 0.01]) if j < op9.BAD_ONLY else ([0.2, 0.6, 0.2] if c == 0 else [0.2, 0.1, 0.7]) for j in j_all for c in (0, 1)}
+    prior, good = 0.8, {}
+    for _ in range(steps):
+        for p in patterns:
+            like = [1 - prior, prior]
+            for j, v in enumerate(p):
+                like = [like[c] * table[j, c][v + 1] for c in (0, 1)]
+            good[p] = like[1] / sum(like)
+        mass = {c: sum(k * (good[p] if c else 1 - good[p]) for p, k in patterns.items()) for c in (0, 1)}
+        table = {(j, c): [(sum(k * (good[p] if c else 1 - good[p]) for p, k in patterns.items() if p[j] + 1 == v) + 1) / (mass[c] + 3) for v in range(3)] for j in j_all for c in (0, 1)}
+        prior = min(max(mass[1] / n, 0.01), 0.99)
+    return good
+
+
+def test_label_model_equals_brute_force():
+    rng = random.Random(8)
+    patterns = {}
+    for _ in range(300):
+        p = tuple(rng.choice([-1, -1, 0]) if j < op9.BAD_ONLY else rng.choice([-1, 0, 1, 1]) for j in range(len(op9.LABELLERS)))
+        patterns[p] = patterns.get(p, 0) + 1
+    got, want = op9.label_model(patterns)[0], brute_posteriors(patterns)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in patterns)
+
+
 def test_label_model_finds_accuracies():
     rng = random.Random(0)
     n = len(op9.LABELLERS)
