@@ -2,10 +2,12 @@
 
 Generators propose spans that may overlap: the four base patterns (all of whose checked matches are kept), their matches
 that fail the check, and looser patterns (written-out addresses, numbers without a plus, dashed or dotted groups).
-Boosted depth-2 trees over format and context features score what is not a base span. They are fitted on the candidates of
-at most ``SAMPLE_DOCS`` documents (the smallest hashes of the key), grouped by feature vector before they reach the driver;
-the label says whether a candidate meets a checked base span. Scores are calibrated on held-out documents; a kind's threshold is
-the smallest at which held-out precision reaches ``PRECISION``, and a kind without such a threshold adds nothing.
+Boosted depth-2 trees over format and context features score what is not a base span. The checked base spans of at most
+``SAMPLE_DOCS`` documents (the smallest hashes of key and text) teach them: each is written in its kind's loose form where it
+stands and counts as true (an address spelled out, a number without its plus, other signs between the groups), and once more
+spoilt (a wrong check digit, a part beyond 255, an end that is no domain, a number amid a row of numbers) and counts as false. Examples are
+grouped by feature vector before they reach the driver. Scores are calibrated on held-out documents; a kind's threshold is the
+smallest at which held-out precision reaches ``PRECISION``, and a kind without such a threshold, or without base spans to learn from, adds nothing.
 
 No shuffle but for the sample. Null texts are empty and have no spans; repeated rows are treated alike; an empty table gives no
 rows and trains nothing. Patterns are possessive where that changes no match, so no text makes them slow or deep.
@@ -13,7 +15,9 @@ rows and trains nothing. Patterns are possessive where that changes no match, so
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -45,22 +49,28 @@ FEATURES = {
     "plus": "instr(x.s, '+') > 0", "paren": "instr(x.s, '(') > 0", "dash": "instr(x.s, '-') > 0", "dot": "instr(x.s, '.') > 0",
     "space": "instr(x.s, ' ') > 0", "at": "instr(x.s, '@') > 0", "letters": "x.s rlike '[A-Za-z]'",
     "digits_8": "x.digits >= 8", "digits_11": "x.digits >= 11", "digits_16": "x.digits >= 16", "long": "length(x.s) > 30",
-    "issuer": "x.s rlike '^[3-6]'", "octets": "NOT x.s rlike '[0-9]{4}' AND NOT x.s rlike '(?<![0-9])(?:2(?:5[6-9]|[6-9])|[3-9][0-9])[0-9]'",
+    "issuer": "x.s rlike '^[3-6]'", "luhn": "coalesce(luhn_check(regexp_replace(x.s, '[^0-9]', '')), false)", "ends_word": "x.s rlike '[A-Za-z]{2,}$'", "octets": "NOT x.s rlike '[0-9]{4}' AND NOT x.s rlike '(?<![0-9])(?:2(?:5[6-9]|[6-9])|[3-9][0-9])[0-9]'",
     "left_free": "x.left rlike '(?:^|[ \\\\s(:;,\"])$'", "right_free": "x.right rlike '^(?:$|[\\\\s).,;:\"])'",
     "near_mail": "lower(x.left) rlike 'mail|contact'", "near_phone": "lower(x.left) rlike 'phone|tel|call|mobil|fax'",
     "near_host": "lower(x.left) rlike 'ip|host|server|addr'", "near_card": "lower(x.left) rlike 'card|visa|credit|pay|account'",
-    "near_number": "x.left rlike '[0-9] ?$' OR x.right rlike '^ ?[0-9]'",
+    "near_number": "x.left rlike '[0-9][ .,/-]?$' OR x.right rlike '^[ .,/-]?[0-9]'",
 }
 
 
+#: Matches whose places are summed up together: arrays grow to this length and to the number of such stretches, not with a text's matches.
+STRETCH = 128
+_NONE = "CAST(array() AS array<struct<start:int,end:int,s:string>>)"
+
+
 def _placed(found: str, parts: str) -> Column:
     """Spans (start, end, s) in code points, from the matches and what a split at them leaves."""
-    return F.expr(f"""aggregate(
-        zip_with(slice({parts}, 1, size({found})), {found}, (p, m) -> struct(length(p) AS gap, m AS s)),
-        struct(0 AS at, CAST(array() AS array<struct<start:int,end:int,s:string>>) AS out),
-        (a, x) -> struct(a.at + x.gap + length(x.s) AS at,
-                         concat(a.out, array(struct(a.at + x.gap AS start, a.at + x.gap + length(x.s) AS end, x.s AS s))) AS out),
-        a -> a.out)""")
+    near = f"""transform(sequence(0, (size({found}) - 1) DIV {STRETCH}), b -> aggregate(
+        zip_with(slice({parts}, b * {STRETCH} + 1, least({STRETCH}, size({found}) - b * {STRETCH})), slice({found}, b * {STRETCH} + 1, {STRETCH}), (p, m) -> struct(length(p) AS gap, m AS s)),
+        struct(0 AS at, {_NONE} AS out),
+        (a, x) -> struct(a.at + x.gap + length(x.s) AS at, concat(a.out, array(struct(a.at + x.gap AS start, a.at + x.gap + length(x.s) AS end, x.s AS s))) AS out)))"""
+    return F.expr(f"""flatten(transform(array({near}), n -> flatten(zip_with(n,
+        aggregate(n, struct(0 AS at, CAST(array() AS array<int>) AS out), (a, l) -> struct(a.at + l.at AS at, concat(a.out, array(a.at)) AS out), a -> a.out),
+        (l, o) -> transform(l.out, x -> struct(x.start + o AS start, x.end + o AS end, x.s AS s))))))""")
 
 
 _CHECK = {
@@ -83,33 +93,55 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
         for c, (k, r) in sets.items()
     })
     df = df.withColumns({f"{c}_p": F.when(F.size(f"{c}_f") > 0, F.split(value, r, -1)).otherwise(none) for c, (_, r) in sets.items()})
-    df = df.withColumns({c: F.when(F.size(f"{c}_f") > 0, _placed(f"{c}_f", f"{c}_p")).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,s:string>>)")) for c in sets})
+    df = df.withColumns({c: F.when(F.size(f"{c}_f") > 0, _placed(f"{c}_f", f"{c}_p")).otherwise(F.expr(_NONE)) for c in sets})
     df = df.select(*kept, *sets)
     df = df.withColumns({f"base_{k}": F.expr(f"filter(_b_{k}, x -> {_CHECK[k]})") for k in KINDS})
-    more = {f"more_{k}": F.expr(f"concat(array_except(_b_{k}, base_{k}), _l_{k})") for k in KINDS}
+    more = {f"more_{k}": F.expr(f"concat(filter(_b_{k}, x -> NOT ({_CHECK[k]})), _l_{k})") for k in KINDS}
     return df.withColumns(more).select(*kept, *[f"base_{k}" for k in KINDS], *more)
 
 
-def _featured(array: str, text: str) -> str:
-    near = f"""transform({array}, y -> struct(y.start AS start, y.end AS end, y.s AS s, length(regexp_replace(y.s, '[^0-9]', '')) AS digits,
-        substring({text}, greatest(y.start - 19, 1), least(y.start, 20)) AS left, substring({text}, y.end + 1, 4) AS right))"""
+def _near(array: str, text: str, s: str = "y.s", left: str = "{}", right: str = "{}") -> str:
+    """Spans y with what stands around them; ``s``, ``left`` and ``right`` can rewrite what is seen."""
+    before, after = f"substring({text}, greatest(y.start - 19, 1), least(y.start, 20))", f"substring({text}, y.end + 1, 4)"
+    seen = f"transform({array}, y -> struct(y.start AS start, y.end AS end, {s} AS s, {left.format(before)} AS left, {right.format(after)} AS right))"
+    return f"transform({seen}, y -> struct(y.start AS start, y.end AS end, y.s AS s, length(regexp_replace(y.s, '[^0-9]', '')) AS digits, y.left AS left, y.right AS right))"
+
+
+def _featured(near: str) -> str:
     return f"transform({near}, x -> struct(x.start AS start, x.end AS end, array({', '.join(FEATURES.values())}) AS f))"
 
 
+_DIGITS = "regexp_replace(y.s, '[^0-9]', '')"
+_GROUPED = "regexp_replace({}, '([0-9]{{4}})(?=[0-9])', '$1.')"
+#: A base span in loose form.
+TRUE = {
+    "email": "replace(replace(y.s, '@', IF(y.start % 2 = 0, ' [at] ', '(at)')), '.', IF(y.start % 3 = 0, '.', ' [dot] '))",
+    "ip": "replace(y.s, '.', '-')",
+    "card": _GROUPED.format(_DIGITS),
+    "phone": "regexp_replace(y.s, '^[+][0-9]{1,2}[ -]?', '')",
+}
+#: One that is spoilt: the rewritten text, and what stands before and after it.
+FALSE = {
+    "email": ("regexp_replace(replace(y.s, '@', ' [at] '), '[A-Za-z]+$', '7')", "{}", "{}"),
+    "ip": ("regexp_replace(replace(y.s, '.', '-'), '^[0-9]+', CAST(300 + y.start % 600 AS string))", "{}", "{}"),
+    "card": (_GROUPED.format(f"concat(substring({_DIGITS}, 1, length({_DIGITS}) - 1), CAST((CAST(right({_DIGITS}, 1) AS int) + 1 + y.start % 9) % 10 AS string))"), "{}", "{}"),
+    "phone": ("regexp_replace(y.s, '^[+][0-9]{1,2}[ -]?', '')", "concat(substring({}, 1, 14), '731 ')", "concat(' 48', substring({}, 1, 1))"),
+}
+
+
 def sampled_candidates(docs: DataFrame, key: str, text: str) -> list:
-    """(kind, held out, feature vector, label, count) over the candidates of at most SAMPLE_DOCS documents."""
-    rank = F.xxhash64(F.col(key).cast("string"))
+    """(kind, held out, feature vector, label, count) over the examples of at most SAMPLE_DOCS documents."""
+    rank = F.xxhash64(F.col(key).cast("string"), F.col(text))  # rows that share a rank are alike
     cut = docs.select(rank.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if cut is None:
         return []
-    few = docs.where(rank <= F.lit(cut)).select(F.coalesce(F.col(text), F.lit("")).alias("t"), (F.pmod(rank, F.lit(3)) == 0).alias("held")).limit(2 * SAMPLE_DOCS)
+    few = docs.where(rank <= F.lit(cut)).select(F.coalesce(F.col(text), F.lit("")).alias("t"), (F.pmod(rank, F.lit(3)) == 0).alias("held")).limit(SAMPLE_DOCS)
     few = _spans(few, "t")
-    each = ", ".join(
-        f"""transform({_featured(f"concat(base_{k}, more_{k})", "t")}, c -> struct('{k}' AS kind, c.f AS f,
-            exists(base_{k}, b -> b.start < c.end AND c.start < b.end) AS label))"""
-        for k in KINDS
-    )
-    rows = few.select("held", F.explode(F.expr(f"concat({each})")).alias("c")).select("held", "c.*")
+    each = [
+        f"transform({_featured(_near(f'base_{k}', 't', *how))}, c -> struct('{k}' AS kind, c.f AS f, {label} AS label))"
+        for k in KINDS for label, how in (("true", (TRUE[k],)), ("false", FALSE[k]))
+    ]
+    rows = few.select("held", F.explode(F.expr(f"concat({', '.join(each)})")).alias("c")).select("held", "c.*")
     return rows.groupBy("kind", "held", "f", "label").agg(F.count("*").alias("n")).collect()  # bounded by the sample
 
 
@@ -139,7 +171,8 @@ def boosted(rows: list[tuple[tuple[bool, ...], bool, int]]) -> list[tuple[int, i
 
 
 def score(trees: list, f: tuple[bool, ...]) -> float:
-    return sum(leaves[2 * f[a] + f[b]] for a, b, leaves in trees)
+    """Added up in the order that SQL does: ``sum`` rounds otherwise."""
+    return functools.reduce(operator.add, (leaves[2 * f[a] + f[b]] for a, b, leaves in trees), 0.0)
 
 
 def threshold(scored: list[tuple[float, bool, int]]) -> float:
@@ -177,7 +210,7 @@ def _chosen(kind: str, model: tuple[list, float], text: str) -> str:
         f"CASE WHEN c.f[{a}] THEN CASE WHEN c.f[{b}] THEN {v[3]!r}D ELSE {v[2]!r}D END ELSE CASE WHEN c.f[{b}] THEN {v[1]!r}D ELSE {v[0]!r}D END END" for a, b, v in trees
     )
     clear = " AND ".join(f"NOT exists(base_{k}, b -> b.start < c.end AND c.start < b.end)" for k in KINDS)
-    return f"transform(filter({_featured(f'more_{kind}', text)}, c -> {clear} AND {total} >= {least!r}D), c -> struct(c.start AS start, c.end AS end))"
+    return f"transform(filter({_featured(_near(f'more_{kind}', text))}, c -> {clear} AND {total} >= {least!r}D), c -> struct(c.start AS start, c.end AS end))"
 
 
 def detect(docs: DataFrame, models: dict[str, tuple[list, float]], text: str = "text") -> DataFrame:
@@ -187,8 +220,9 @@ def detect(docs: DataFrame, models: dict[str, tuple[list, float]], text: str = "
     tag = lambda k, array: f"transform({array}, x -> struct({KINDS.index(k)} AS k, x.start AS start, x.end AS end))"
     df = df.withColumn("base", F.expr(f"concat({', '.join(tag(k, f'base_{k}') for k in KINDS)})"))
     added = [tag(k, _chosen(k, models[k], own)) for k in KINDS]
-    df = df.withColumn("spans", F.expr(f"array_sort(array_distinct(concat(base, {', '.join(added)})))"))
-    return df.drop(own, *[f"{g}_{k}" for g in ("base", "more") for k in KINDS])
+    df = df.withColumn("__all", F.expr(f"array_sort(concat(base, {', '.join(added)}))"))
+    df = df.withColumn("spans", F.expr("filter(__all, (x, i) -> i = 0 OR x <> __all[i - 1])"))  # each once, in linear time
+    return df.drop(own, "__all", *[f"{g}_{k}" for g in ("base", "more") for k in KINDS])
 
 
 def _joined(spans: str) -> Column:

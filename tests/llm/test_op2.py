@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from stepframe.llm import op2_pii
 
@@ -65,6 +66,61 @@ def test_redaction_keeps_columns_and_clean_rows(spark):
     assert out[1].spans == "k" and out[3].base == 5
 
 
+def with_check_digit(body):
+    return next(body + str(d) for d in range(10) if luhn([int(c) for c in body + str(d)]))
+
+
+def planted(seed, n, loose):
+    """Texts with one item each, and its place if it is personal data; ``loose`` ones meet no base pattern."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abdeilmnorst") for _ in range(rng.randint(2, 7)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    for _ in range(n):
+        kind, good = rng.choice(list(PATTERNS)), not loose or rng.random() < 0.6
+        before, after = " ".join(word() for _ in range(6)) + " ", " " + " ".join(word() for _ in range(4))
+        if kind == "email":
+            item = f"{word()}@{word()}.com" if not loose else f"{word()} [at] {word()} [dot] {'org' if good else '7'}"
+        elif kind == "ip":
+            parts = [str(rng.randint(1, 255)) for _ in range(4)]
+            item = ("-" if loose else ".").join(parts if good else [str(rng.randint(256, 999)), *parts[1:]])
+        elif kind == "card":
+            item = with_check_digit("4" + digits(14))
+            item = item if good else item[:-1] + str((int(item[-1]) + rng.randint(1, 9)) % 10)
+            item = ".".join(item[i : i + 4] for i in range(0, 16, 4)) if loose else item
+        else:
+            item = f"({rng.randint(200, 999)}) 555-{digits(4)}"
+            item = item if loose else f"+1 {item}"
+            if not good:
+                before, after = before + digits(3) + " ", " " + digits(2) + after
+        out.append((before + item + after, f"{kind}:{len(before)}:{len(before) + len(item)}" if good else ""))
+    return out
+
+
+def test_added_spans_are_right_on_held_out_texts(spark):
+    shown, unseen = planted(1, 600, False), planted(2, 400, True)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(shown)], "doc_id long, text string")
+    models = op2_pii.train(docs)
+    more = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(unseen)], "doc_id long, text string")
+    assert all(not base_spans(t) for t, _ in unseen)
+    got = {r.doc_id: {f"{op2_pii.KINDS[x.k]}:{x.start}:{x.end}" for x in r.spans} for r in op2_pii.detect(more, models).collect()}
+    want = {i: {w} - {""} for i, (_, w) in enumerate(unseen)}
+    for kind in PATTERNS:
+        of = lambda spans: {(i, x) for i, xs in spans.items() for x in xs if x.startswith(kind)}  # noqa: B023, E731
+        right = of(got) & of(want)
+        assert len(of(want)) > 30 and len(right) >= 0.9 * len(of(want)) and len(right) >= 0.9 * len(of(got)), kind
+    nothing = {k: ([], float("inf")) for k in models}
+    assert not any(r.spans for r in op2_pii.detect(more, nothing).collect())
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.org" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "a@b.co")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in op2_pii.find_pii(docs).collect()}
+    assert got[1].n_email == 20_000 and got[1].base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert time.perf_counter() - start < 120
+
+
 def test_empty_table(spark):
     assert op2_pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
