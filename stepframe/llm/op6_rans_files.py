@@ -1,7 +1,7 @@
 """Token-id files coded by a range asymmetric numeral system.
 
-``tokenize`` gives the ids of each text once and keeps them in the shared folder; their counts over all documents make the
-one frequency table that all blocks share. ``write`` deals the ids out by ranges of the document id, about
+``tokenize`` gives the ids of each text once and keeps them in the shared folder, with a tally of each batch in a column of its
+own; the tallies of all documents make the one frequency table that all blocks share. ``write`` deals the ids out by ranges of the document id, about
 ``PART_TOKENS`` each, and every task codes its range block by block: a block is a row of a Parquet file (its container)
 with word stream, lane states, checkpoints, two checksums and the ids and lengths of its documents. Blocks hold whole
 documents and are coded and decoded independently. ``read`` gives each document's ids back; ``digest`` their place and
@@ -31,7 +31,8 @@ _BLOCK = "part int, block int, start long, n long, doc_ids binary, known binary,
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id long, ids binary (little-endian unsigned 16-bit, the end id last) for each row."""
+    """doc_id long, ids binary (little-endian unsigned 16-bit, the end id last) for each row; tally: at one row of each batch the ids that
+    occur in it and how often, else null."""
     ship(docs.sparkSession)
     end = np.array([end_id], "<u2").tobytes()
 
@@ -40,34 +41,37 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
         for b in batches:
             at = 0
             for texts in byte_chunks(b.column(1), BATCH_BYTES):
-                ids = pa.array([x + end for x in encode(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), ids], ["doc_id", "ids"])
+                ids = [x + end for x in encode(texts)]
+                n = np.bincount(np.frombuffer(b"".join(ids), "<u2"))
+                used = np.flatnonzero(n)
+                tally = [used.astype("<u2").tobytes() + n[used].astype("<u4").tobytes(), *[None] * (len(ids) - 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(tally, pa.binary())], ["doc_id", "ids", "tally"])
                 at += len(texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, tally binary")
 
 
 def symbol_counts(ids: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of each id over all rows: one array in each task, sums of at most ``size`` numbers on the driver."""
+    """Occurrences of each id over all rows, from the tallies: one array in each task, sums of at most ``size`` numbers on the driver."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            flat = np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), "<u2")
-            total += np.bincount(flat, minlength=size)
+            for x in b.column(0).to_pylist():
+                total[np.frombuffer(x, "<u2", len(x) // 6)] += np.frombuffer(x, "<u4", offset=len(x) // 3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in ids.where("tally IS NOT NULL").select("tally").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.id] = row.n
     return out
 
 
 def write(ids: DataFrame, freq: np.ndarray, path: str, tokens: int) -> None:
     """Code the documents in ascending order of doc_id."""
-    parts = min(100_000, max(1, -(-tokens // PART_TOKENS)))
+    parts = max(1, -(-tokens // PART_TOKENS))
 
     def run(batches):
         from pyspark import TaskContext
@@ -94,7 +98,7 @@ def write(ids: DataFrame, freq: np.ndarray, path: str, tokens: int) -> None:
         if held:
             yield flush()
 
-    dealt = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = ids.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     dealt.mapInArrow(run, _BLOCK).write.parquet(path)
 
 

@@ -74,6 +74,8 @@ _BYTES = _byte_table()
 _CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 _WITH_SPACE = rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
 _WITHOUT = rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+"
+#: Signs that are a pre-token of their own after a word and at the end of a piece.
+_SIGNS = tuple(".,!?;:")
 #: Pre-tokens are found here only in texts below this character; in others by the library.
 _LATIN_END = "\u0250"
 
@@ -97,6 +99,12 @@ class SpacedEncoder:
 
     def told(self, piece: str) -> bytes | None:
         """None for a piece that ends in white space: its ids depend on what follows."""
+        if piece.isascii() and self.keep_spaces:  # plain words, also before one sign, the way ``one`` takes them
+            body = piece[1:] if piece[:1] == " " else piece
+            if body.isalpha():
+                return array("H", [t.id for t in self.tokenize("\u0120" + body if body is not piece else piece)]).tobytes()
+            if body[-1:] in _SIGNS and body[:-1].isalpha():
+                return self.known[piece[:-1]] + self.known[piece[-1]]
         return None if self.keep_spaces and piece[-1:].isspace() else self.one(piece)
 
     def pieces(self, text: str) -> list[str]:
@@ -120,8 +128,8 @@ class SpacedEncoder:
         body = piece[1:] if piece[:1] == " " else piece
         if body.isalpha():
             return self.word(piece)
-        if body[-1:] in ".," and body[:-1].isalpha():
-            return self.word(piece[:-1]) + self.known[body[-1]]
+        if body[-1:] in _SIGNS and body[:-1].isalpha():
+            return self.known[piece[:-1]] + self.known[body[-1]]
         return b"".join(map(self.word, self.find(piece)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
