@@ -230,10 +230,10 @@ def open_entries(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         known = _small_side(labels.withColumnRenamed("node", "fp"), labels.count())
         marked = entries.select("column", "fp", "n", "left", "degree").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = marked.groupBy("column", "label").agg(F.max(F.struct("degree", "fp", "n", "left", "label")).alias("h"))
-    rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("h")))
-    two = first.withColumn("rank", rank).where("rank <= 2").groupBy("column").agg(*[F.max(F.when(F.col("rank") == k, F.col("h"))).alias(f"h{k}") for k in (1, 2)])
-    return marked.join(two.where("h2 IS NOT NULL"), "column")
+    hub = F.max(F.struct("degree", "fp", "n", "left", "label"))  # partial maxima: one row a column is shuffled
+    one = marked.join(marked.groupBy("column").agg(hub.alias("h1")), "column")
+    two = one.where(F.col("label") != F.col("h1.label")).groupBy("column").agg(hub.alias("h2"))  # dealt by column already
+    return one.join(two, "column")
 
 
 def with_hubs(opened: DataFrame) -> DataFrame:
