@@ -16,7 +16,9 @@ The product is taken in two passes, whose cost in a group of near copies grows w
    the overlap that a match needs, 3/7 of the summed sizes; overlaps are accumulated over the columns and held against that
    bound again. What stays is checked on whole sets. Pairs inside a class are not needed, so no link between classes is lost.
 
-A column is a task's work up to ``HOT`` rows; where the counts allow more, such columns are counted and salted.
+A column is a task's work up to ``HOT`` rows; where the counts allow more, such columns are counted and salted. The entries of a
+block of columns stay together in one stored row, so a pass over them shuffles nothing but what a block says of its rows; entries that
+no other entry of their column can match go at once.
 
 Links to classes are components by star contraction.
 
@@ -50,7 +52,7 @@ LISTED = 1 << 20
 TILE = 1024
 #: Hubs that a row is checked against in a round; rounds end when fewer than one row in GAIN finds a link.
 BEST = 3
-GAIN = 20
+GAIN = 50
 ROUNDS = 8
 #: Ids (8 bytes each) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -196,11 +198,85 @@ def in_blocks(rows: DataFrame, order, blocks: int) -> DataFrame:
     return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _CELL)
 
 
-_ENTRIES = "column long, fp long, n long, left long"
+#: A block of shared columns in one row: distinct rows with size, degree and label; distinct columns and how many entries each has; for each entry its row and what is left of it.
+_BLOCK = "block long, salt long, fps binary, ns binary, degrees binary, labels binary, columns binary, held binary, at binary, left binary"
+
+
+class Block:
+    """The entries of a block of columns, sorted by column, as arrays."""
+
+    def __init__(self, block, salt, fps, ns, degrees, labels, columns, at, left):
+        self.block, self.salt, self.fps, self.ns, self.degrees, self.labels, self.columns, self.at, self.left = block, salt, fps, ns, degrees, labels, columns, at, left
+
+    @classmethod
+    def of(cls, r) -> Block:
+        held = np.frombuffer(r.held, np.int32)
+        own = [np.frombuffer(x, np.int64) for x in (r.fps, r.ns, r.degrees, r.labels)]
+        return cls(r.block, r.salt, *own, np.repeat(np.frombuffer(r.columns, np.uint64), held), *(np.frombuffer(x, np.int32).astype(np.int64) for x in (r.at, r.left)))
+
+    def row(self) -> tuple:
+        columns, held = np.unique(self.columns, return_counts=True)
+        rows = [x.tobytes() for x in (self.fps, self.ns, self.degrees, self.labels)]
+        return (self.block, self.salt, *rows, columns.tobytes(), *(x.astype(np.int32).tobytes() for x in (held, self.at, self.left)))
+
+    def kept(self, keep: np.ndarray) -> Block:
+        used, at = np.unique(self.at[keep], return_inverse=True)
+        return Block(self.block, self.salt, self.fps[used], self.ns[used], self.degrees[used], self.labels[used], self.columns[keep], at, self.left[keep])
+
+    def opened(self) -> Block:
+        """The entries of columns that hold several classes and that can still match another entry of their column: sizes allow
+        a match, and so does what the entry's own row still holds. Only the smallest partner that sizes allow needs a look. A pair
+        that can match keeps both its entries, so no link is lost. Salted columns are spread over blocks and stay whole."""
+        if self.salt or not len(self.at):
+            return self
+        starts = np.flatnonzero(np.concatenate([[True], self.columns[1:] != self.columns[:-1]]))
+        held = np.diff([*starts, len(self.at)])
+        label = self.labels[self.at]
+        several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
+        column, n = np.repeat(np.arange(len(starts)), held), self.ns[self.at]
+        turn = np.lexsort((n, column))
+        key = column[turn] * (1 << 36) + n[turn]
+        own, size = np.arange(len(turn)), n[turn]
+        y = np.searchsorted(key, column[turn] * (1 << 36) + (3 * size + 3) // 4)
+        y = np.where(y == own, own + 1, y)
+        inside = y < len(turn)
+        y = np.minimum(y, len(turn) - 1)
+        other = size[y]
+        may = inside & (column[turn][y] == column[turn]) & (4 * size >= 3 * other) & (7 * self.left[turn] >= 3 * (size + other))
+        keep = np.empty(len(turn), bool)
+        keep[turn] = may
+        return self.kept(keep & several[column])
+
+    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and the hubs of other classes that they meet, and in how many columns."""
+        if not len(self.at):
+            return (np.empty(0, np.int64),) * 3
+        turn = np.lexsort((self.fps[self.at], self.degrees[self.at], self.columns))
+        columns, at, left = self.columns[turn], self.at[turn], self.left[turn]
+        last = np.flatnonzero(np.concatenate([columns[1:] != columns[:-1], [True]]))
+        held = np.diff([-1, *last])
+        column, label = np.repeat(np.arange(len(last)), held), self.labels[at]
+        other = label != np.repeat(label[last], held)
+        second = np.full(len(last), -1)
+        np.maximum.at(second, column[other], np.flatnonzero(other))
+        y = np.where(other, last[column], second[column])
+        x = np.flatnonzero(y >= 0)
+        y = y[x]
+        n, m = self.ns[at[x]], self.ns[at[y]]
+        may = (7 * np.minimum(n, m) >= 3 * (n + m)) & (7 * np.minimum(left[x], left[y]) >= 3 * (n + m))
+        pair, c = np.unique(at[x][may] * len(self.fps) + at[y][may], return_counts=True)
+        return self.fps[pair // len(self.fps)], self.fps[pair % len(self.fps)], c
+
+    def entries(self) -> pd.DataFrame:
+        return pd.DataFrame({"column": self.columns.view(np.int64), "fp": self.fps[self.at], "n": self.ns[self.at], "left": self.left, "degree": self.degrees[self.at], "label": self.labels[self.at]})
+
+
+def _rows(blocks: list[Block]) -> pd.DataFrame:
+    return pd.DataFrame([b.row() for b in blocks if len(b.at)], columns=["block", "salt", "fps", "ns", "degrees", "labels", "columns", "held", "at", "left"])
 
 
 def shared_columns(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct entries of a block of columns without those of columns that one row holds: column, row, its size, what is left of it."""
+    """The distinct entries of a block of columns without those of columns that one row holds."""
     fps = [np.frombuffer(x, np.int64) for x in pdf["fps"]]
     start = np.concatenate([[0], np.cumsum([len(x) for x in fps])])
     entry = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + s for x, s in zip(pdf["at"], start, strict=False)])
@@ -212,11 +288,70 @@ def shared_columns(pdf: pd.DataFrame) -> pd.DataFrame:
     turn = np.lexsort((row, columns))
     columns, row, left = columns[turn], row[turn], left[turn]
     new = np.concatenate([[True], (columns[1:] != columns[:-1]) | (row[1:] != row[:-1])])
-    columns, row, left = columns[new], row[new], left[new]
-    if pdf["salt"].iloc[0] == 0:
-        alone = np.concatenate([[True], columns[1:] != columns[:-1]]) & np.concatenate([columns[1:] != columns[:-1], [True]])
-        columns, row, left = columns[~alone], row[~alone], left[~alone]
-    return pd.DataFrame({"column": columns.view(np.int64), "fp": names[row], "n": sizes[row], "left": left})
+    block = Block(int(pdf["block"].iloc[0]), int(pdf["salt"].iloc[0]), names, sizes, np.zeros_like(names), names, columns, row, left)
+    return _rows([block.kept(new).opened()])
+
+
+def _renewed(blocks: DataFrame, told: DataFrame, what: str) -> DataFrame:
+    """``blocks`` with ``what`` of their rows as ``told`` (block, salt, fp, value) says, open entries only."""
+
+    def renew(cells: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out, fps = [], told["fp"].to_numpy(np.int64)
+        turn = np.argsort(fps)
+        fps, values = fps[turn], told["value"].to_numpy(np.int64)[turn]
+        for r in cells.itertuples(index=False):
+            b = Block.of(r)
+            if len(fps):
+                at = np.minimum(np.searchsorted(fps, b.fps), len(fps) - 1)
+                setattr(b, what, np.where(fps[at] == b.fps, values[at], getattr(b, what)))
+            out.append(b.opened())
+        return _rows(out)
+
+    return blocks.groupBy("block", "salt").cogroup(told.groupBy("block", "salt")).applyInPandas(renew, _BLOCK)
+
+
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """block, salt, fp and the number of entries of each row of each block."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                b = Block.of(r)
+                yield pd.DataFrame({"block": b.block, "salt": b.salt, "fp": b.fps, "c": np.bincount(b.at, minlength=len(b.fps))})
+
+    return blocks.mapInPandas(run, "block long, salt long, fp long, c long")
+
+
+def with_degrees(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the number of entries of each row over all blocks (a row has at most one number for each block)."""
+    told = rows_of(blocks).withColumn("value", F.sum("c").over(W.partitionBy("fp")))
+    return _renewed(blocks, told.select("block", "salt", "fp", "value"), "degrees")
+
+
+def with_labels(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``blocks`` with the classes of their rows, open entries only."""
+    known = _small_side(labels.select(F.col("node").alias("fp"), F.col("label").alias("value")), labels.count())
+    return _renewed(blocks, rows_of(blocks).join(known, "fp").select("block", "salt", "fp", "value"), "labels")
+
+
+def met_in(blocks: DataFrame) -> DataFrame:
+    """a, b, c: rows, the hubs that they meet in a block, and in how many columns."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame(dict(zip("abc", Block.of(r).met(), strict=True)))
+
+    return blocks.mapInPandas(run, "a long, b long, c long")
+
+
+def entries_of(blocks: DataFrame) -> DataFrame:
+    def run(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                yield Block.of(r).entries()
+
+    return blocks.mapInPandas(run, "column long, fp long, n long, left long, degree long, label long")
 
 
 #: Sizes allow a match (4 min >= 3 max is 7 min >= 3 sum), and so does what both sets still hold.
@@ -224,23 +359,27 @@ _MAY = "7 * least(x.n, y.n) >= 3 * (x.n + y.n) AND 7 * least(x.left, y.left) >=
 
 
 def open_entries(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries of columns that hold several classes, with the row's label and the two most connected rows of different classes."""
-    if labels is None:
-        marked = entries.withColumn("label", F.col("fp"))
-    else:
+    """The entries of salted columns that hold several classes, with the row's label and the two most connected rows of different classes."""
+    marked = entries.select("column", "fp", "n", "left", "degree", "label")
+    if labels is not None:
         known = _small_side(labels.withColumnRenamed("node", "fp"), labels.count())
-        marked = entries.select("column", "fp", "n", "left", "degree").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        marked = marked.drop("label").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     hub = F.max(F.struct("degree", "fp", "n", "left", "label"))  # partial maxima: one row a column is shuffled
     one = marked.join(marked.groupBy("column").agg(hub.alias("h1")), "column")
     two = one.where(F.col("label") != F.col("h1.label")).groupBy("column").agg(hub.alias("h2"))  # dealt by column already
     return one.join(two, "column")
 
 
-def with_hubs(opened: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows and hubs of other classes, the BEST of each row by overlap."""
+def met_salted(opened: DataFrame) -> DataFrame:
+    """a, b, c: rows of salted columns, the hubs that they meet, and in how many columns."""
     x = F.struct("fp", "n", "left").alias("x")
     met = opened.select(x, F.when(F.col("label") != F.col("h1.label"), F.col("h1")).otherwise(F.col("h2")).alias("y")).where(_MAY)
-    overlaps = met.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def with_hubs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows and hubs of other classes, the BEST of each row by overlap."""
+    overlaps = met.repartition("a").groupBy("a", "b").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("c"), "b"))
     found = overlaps.withColumn("rank", rank).where(F.col("rank") <= BEST)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -304,23 +443,29 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     hot = hot_columns(rows, counts, blocks)
     if len(hot[0]):
         order = spark.sparkContext.broadcast(Order(counts, *hot))  # and 16 bytes x LISTED at most
-    entries = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(shared_columns, _ENTRIES), "entries")
-    degrees = stored(entries.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    n_rows = degrees.count()
-    opened = stored(open_entries(entries.join(_small_side(degrees, n_rows), "fp"), None), "open-columns")
+    cells = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(shared_columns, _BLOCK), "blocks")
+    cells = stored(with_degrees(cells), "blocks")
+    n_rows = classes.count()
+    salted = stored(open_entries(entries_of(cells.where("salt > 0")), None), "open-columns") if len(hot[0]) else None
+    cells = cells.where("salt = 0")
 
     checked = links = labels = None
     for _ in range(ROUNDS):
-        more = with_hubs(opened)
+        met = met_in(cells)
+        more = with_hubs(met if salted is None else met.unionByName(met_salted(salted)))
         more = stored(more if checked is None else more.join(checked, ["a", "b"], "left_anti"), "candidates")
         found = verified(more, docs, classes)
         checked = more if checked is None else checked.unionByName(more)
         links = found if links is None else links.unionByName(found)
         labels = stored(components(links), "labels")
-        opened = stored(open_entries(opened, labels), "open-columns")
+        cells = stored(with_labels(cells, labels), "blocks")
+        salted = salted if salted is None else stored(open_entries(salted, labels), "open-columns")
         if GAIN * found.count() <= n_rows:
             break
-    more = stored(between_classes(opened).join(checked, ["a", "b"], "left_anti"), "candidates")
+    entries = entries_of(cells)
+    if salted is not None:
+        entries = entries.unionByName(salted.select(*entries.columns))
+    more = stored(between_classes(entries).join(checked, ["a", "b"], "left_anti"), "candidates")
     if more.limit(1).count():
         links = links.unionByName(verified(more, docs, classes))
         labels = stored(components(links), "labels")
