@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepframe.llm.components import components
-from stepframe.llm.shared import byte_slices, ship, stored
+from stepframe.llm.shared import byte_slices, discard, ship, stored
 from stepframe.llm.shingles import mixed, sets
 
 SKETCH_BITS = 20
@@ -403,30 +403,45 @@ def _small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold. The low 16 bits of all hashes go first: equal hashes have equal bits, so
+    they bound the overlap from above and no match is lost; whole sets are moved for the pairs that are left."""
+    return compared(compared(pairs, docs, classes, np.uint16), docs, classes, np.uint64)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
+    """The pairs (a, b) that reach the threshold by their sets' hashes, cut to ``kind``."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("least").alias("doc_id")), "to-check")
     texts = docs.select("doc_id", "text").join(_small_side(nodes, nodes.count()), "doc_id")
 
     def run(batches):
         for b, found in _slices(batches, 1):
             keep = [i for i, (s, fp) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if fingerprint(s) == fp]  # not another row of that id
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["fp", "held"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].astype(kind).tobytes() for i in keep], pa.binary())], ["fp", "held"])
 
     held = stored(texts.select("fp", "text").mapInArrow(run, "fp long, held binary").dropDuplicates(["fp"]), "sets")
 
     def compare(batches):
         for b in batches:
-            a, c = [], []
+            a = []
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                s, t = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                both = len(np.intersect1d(s, t, assume_unique=True)) if kind is np.uint64 else min(int(np.isin(s, t).sum()), int(np.isin(t, s).sum()))
                 if 100 * both >= 75 * (len(s) + len(t) - both):
                     a.append(i)
             keep = pa.array(a, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
     left, right = held.select(F.col("fp").alias("a"), F.col("held").alias("sa")), held.select(F.col("fp").alias("b"), F.col("held").alias("sb"))
-    return stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "matches")
+    found = stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "matches")
+    discard(held)
+    discard(nodes)
+    return found
+
+
+def _replaced(cells: DataFrame, by: DataFrame) -> DataFrame:
+    out = stored(by, "blocks")
+    discard(cells)
+    return out
 
 
 def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,10 +459,11 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     if len(hot[0]):
         order = spark.sparkContext.broadcast(Order(counts, *hot))  # and 16 bytes x LISTED at most
     cells = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(shared_columns, _BLOCK), "blocks")
-    cells = stored(with_degrees(cells), "blocks")
+    cells = _replaced(cells, with_degrees(cells))
     n_rows = classes.count()
     salted = stored(open_entries(entries_of(cells.where("salt > 0")), None), "open-columns") if len(hot[0]) else None
-    cells = cells.where("salt = 0")
+    if salted is not None:
+        cells = _replaced(cells, cells.where("salt = 0"))
 
     checked = links = labels = None
     for _ in range(ROUNDS):
@@ -458,7 +474,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         checked = more if checked is None else checked.unionByName(more)
         links = found if links is None else links.unionByName(found)
         labels = stored(components(links), "labels")
-        cells = stored(with_labels(cells, labels), "blocks")
+        cells = _replaced(cells, with_labels(cells, labels))
         salted = salted if salted is None else stored(open_entries(salted, labels), "open-columns")
         if GAIN * found.count() <= n_rows:
             break

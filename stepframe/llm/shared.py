@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: With this setting shuffle files go when the execution that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,13 +63,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that lost executors cost no recomputation."""
+    """Cut the lineage: write to the shared folder and read back, so that lost executors cost no recomputation. The shuffle files
+    of the write are of no more use then and go at once, so local disks hold those of one write and not of the whole job."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote, when nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
