@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepframe.llm.components import components
-from stepframe.llm.shared import byte_slices, discard, ship, stored
+from stepframe.llm.shared import byte_slices, discard, lean, lean_cogroup, lean_group, ship, stored
 from stepframe.llm.shingles import mixed, sets
 
 SKETCH_BITS = 20
@@ -84,7 +84,7 @@ def column_counts(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
 
     out = np.zeros(size, np.uint32)
-    sums = docs.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary")
+    sums = docs.select("text").mapInArrow(lean(run), "part int, n binary").groupBy("part").applyInPandas(lean_group(add), "part int, n binary")
     for r in sums.toLocalIterator():
         out[r.part * width : (r.part + 1) * width] = np.frombuffer(zlib.decompress(r.n), "<u4")
     return out
@@ -149,7 +149,7 @@ def hot_columns(rows: DataFrame, counts: np.ndarray, blocks: int) -> tuple[np.nd
         total = np.bincount(at, np.frombuffer(b"".join(pdf["n"]), "<u4")).astype(np.int64)
         return pd.DataFrame({"column": columns[total > HOT].view(np.int64), "n": total[total > HOT]})
 
-    counted = rows.select("columns").mapInArrow(run, "block long, columns binary, n binary").groupBy("block").applyInPandas(add, "column long, n long")
+    counted = rows.select("columns").mapInArrow(lean(run), "block long, columns binary, n binary").groupBy("block").applyInPandas(lean_group(add), "column long, n long")
     found = counted.orderBy(F.desc("n"), "column").limit(LISTED).collect()  # 16 bytes each
     return np.array([r.column for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
 
@@ -163,7 +163,7 @@ def incidence(docs: DataFrame, order) -> DataFrame:
             n, fp = [len(s) for s in found], [fingerprint(s) for s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array([c.tobytes() for c in held], pa.binary())], ["doc_id", "n", "fp", "columns"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, columns binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, fp long, columns binary")
 
 
 _CELL = "block long, salt long, fps binary, ns binary, at binary, left binary, columns binary"
@@ -195,7 +195,7 @@ def in_blocks(rows: DataFrame, order, blocks: int) -> DataFrame:
             cols = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "salt", "fps", "ns", "at", "left", "columns"])
 
-    return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(run, _CELL)
+    return rows.where("doc_id IS NOT NULL").select("fp", "n", "columns").mapInArrow(lean(run), _CELL)
 
 
 #: A block of shared columns in one row: distinct rows with size, degree and label; distinct columns and how many entries each has; for each entry its row and what is left of it.
@@ -307,7 +307,7 @@ def _renewed(blocks: DataFrame, told: DataFrame, what: str) -> DataFrame:
             out.append(b.opened())
         return _rows(out)
 
-    return blocks.groupBy("block", "salt").cogroup(told.groupBy("block", "salt")).applyInPandas(renew, _BLOCK)
+    return blocks.groupBy("block", "salt").cogroup(told.groupBy("block", "salt")).applyInPandas(lean_cogroup(renew), _BLOCK)
 
 
 def rows_of(blocks: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def rows_of(blocks: DataFrame) -> DataFrame:
                 b = Block.of(r)
                 yield pd.DataFrame({"block": b.block, "salt": b.salt, "fp": b.fps, "c": np.bincount(b.at, minlength=len(b.fps))})
 
-    return blocks.mapInPandas(run, "block long, salt long, fp long, c long")
+    return blocks.mapInPandas(lean(run), "block long, salt long, fp long, c long")
 
 
 def with_degrees(blocks: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def met_in(blocks: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 yield pd.DataFrame(dict(zip("abc", Block.of(r).met(), strict=True)))
 
-    return blocks.mapInPandas(run, "a long, b long, c long")
+    return blocks.mapInPandas(lean(run), "a long, b long, c long")
 
 
 def entries_of(blocks: DataFrame) -> DataFrame:
@@ -351,7 +351,7 @@ def entries_of(blocks: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 yield Block.of(r).entries()
 
-    return blocks.mapInPandas(run, "column long, fp long, n long, left long, degree long, label long")
+    return blocks.mapInPandas(lean(run), "column long, fp long, n long, left long, degree long, label long")
 
 
 #: Sizes allow a match (4 min >= 3 max is 7 min >= 3 sum), and so does what both sets still hold.
@@ -418,7 +418,7 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, kind: type)
             keep = [i for i, (s, fp) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if fingerprint(s) == fp]  # not another row of that id
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].astype(kind).tobytes() for i in keep], pa.binary())], ["fp", "held"])
 
-    held = stored(texts.select("fp", "text").mapInArrow(run, "fp long, held binary").dropDuplicates(["fp"]), "sets")
+    held = stored(texts.select("fp", "text").mapInArrow(lean(run), "fp long, held binary").dropDuplicates(["fp"]), "sets")
 
     def compare(batches):
         for b in batches:
@@ -432,7 +432,7 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, kind: type)
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
     left, right = held.select(F.col("fp").alias("a"), F.col("held").alias("sa")), held.select(F.col("fp").alias("b"), F.col("held").alias("sb"))
-    found = stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "matches")
+    found = stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(compare), "a long, b long"), "matches")
     discard(held)
     discard(nodes)
     return found
@@ -458,7 +458,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     hot = hot_columns(rows, counts, blocks)
     if len(hot[0]):
         order = spark.sparkContext.broadcast(Order(counts, *hot))  # and 16 bytes x LISTED at most
-    cells = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(shared_columns, _BLOCK), "blocks")
+    cells = stored(in_blocks(rows, order, blocks).groupBy("block", "salt").applyInPandas(lean_group(shared_columns), _BLOCK), "blocks")
     cells = _replaced(cells, with_degrees(cells))
     n_rows = classes.count()
     salted = stored(open_entries(entries_of(cells.where("salt > 0")), None), "open-columns") if len(hot[0]) else None

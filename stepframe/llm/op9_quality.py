@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.shared import byte_slices, ship
+from stepframe.llm.shared import byte_slices, lean, ship
 from stepframe.llm.shingles import words
 
 SAMPLE_DOCS = 8_000
@@ -135,7 +135,7 @@ def vote_patterns(docs: DataFrame) -> dict[tuple[int, ...], int]:
             found, n = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return {tuple(int(r.code) // 3**j % 3 - 1 for j in range(len(LABELLERS))): r.n for r in sorted(rows)}
 
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarra
             p = np.where(wordless(features), 0.0, [posterior.get(tuple(v), 0.0) for v in votes.tolist()])
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([f.tobytes() for f in features], pa.binary())], ["good", "f"])
 
-    held = rows.where(F.col("h") <= F.lit(cut)).select("text").limit(SAMPLE_DOCS).mapInArrow(run, "good double, f binary").collect()
+    held = rows.where(F.col("h") <= F.lit(cut)).select("text").limit(SAMPLE_DOCS).mapInArrow(lean(run), "good double, f binary").collect()
     x = np.frombuffer(b"".join(bytes(r.f) for r in held), np.float32).reshape(len(held), WIDTH)
     order = np.lexsort((x[:, : 64].sum(1), [r.good for r in held]))  # the same sums whatever order rows come in
     return fit_scorer(x[order].astype(np.float64), np.array([r.good for r in held])[order])
@@ -207,7 +207,7 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
             m = _margins(b.column(1), weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(1 / (1 + np.exp(-np.clip(m, -50, 50))), 6)), pa.array(m >= MARGIN)], ["doc_id", "score", "keep"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, keep boolean")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double, keep boolean")
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def good_only(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for b in byte_slices(batches, at, SLICE_BYTES, SLICE):
             yield b.filter(pa.array(_margins(b.column(at), weights) >= MARGIN))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from stepframe.llm import op8_jaccard_join as op8
@@ -103,3 +104,19 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_workers_give_freed_memory_back(spark):
+    def held(batches):
+        for b in batches:
+            own = dict(x.split(":", 1) for x in open("/proc/self/status") if x.startswith(("RssAnon", "VmRSS")))
+            yield b.append_column("mb", pa.array([int(own["RssAnon"].split()[0]) / 1024] * len(b))).select(["mb"])
+
+    measure = lambda: max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(held, "mb double").collect())
+    before = measure()
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, texts[i % 4000]) for i in range(24_000)], "doc_id long, text string").repartition(4)
+    op8.column_counts(docs)
+    after = measure()
+    assert after < before + 40, (before, after)
