@@ -6,9 +6,10 @@ Euclidean distance is |q|^2 + M - 2 q.x, so nearest means the highest inner prod
 Rows go to the nearest of at most ``PIVOTS`` pivots (a bounded sample by hash); a pivot's cell is dealt by hash into pages of
 about ``PAGE`` rows, so a vector that a third of all rows share is spread over many pages. Each page holds an M-tree in paged
 nodes: routing objects with covering radius and distance to the parent, leaves with the distance to their routing object.
-A query first searches one page of its nearest pivot for a bound on its k-th score; then it visits, in blocks of queries,
-the pages of all pivots whose ball can still hold a score as high. In a page, nodes are taken best first, and entries
-are passed over without computing a distance where stored parent distances already exclude them. Bounds have
+A query first searches one page of its nearest pivot for a bound on its k-th score; then each block of ``TOGETHER`` queries meets
+each page, and its queries visit the pages of all pivots whose ball can still hold a score as high; what they find in a task
+bounds the rest of it. Blocks and pages are read side by side: neither is copied through a shuffle or to the driver. In a page, nodes are taken
+best first, and entries are passed over where stored parent distances already exclude them. Bounds have
 a relative slack and ties are never excluded; scores are whole numbers.
 
 Vectors null, without an id, or holding null or non-finite components, take no part; shorter ones are filled with zeros. Scaled
@@ -18,6 +19,7 @@ An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
 
@@ -37,6 +39,10 @@ FANOUT = 16
 SLACK = 1e-9
 #: Squared norms stay under this, with room for rounding: no inner product passes int64.
 MOST = 2.0**63 * (1 - 1e-6)
+#: Queries that visit a page together.
+TOGETHER = 1024
+#: No score.
+NONE = np.iinfo(np.int64).min
 
 
 def scaled(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
@@ -114,48 +120,85 @@ class MTree:
         self.nodes.append((False, np.array(routing), np.array(radii), np.array(parents), children))
         return len(self.nodes) - 1
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """A row for each query."""
         if self.exact:
-            return (self.vectors[rows].astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-        return self.vectors[rows] @ query
+            return (queries.astype(np.float64) @ self.vectors[rows].astype(np.float64).T).astype(np.int64)
+        return queries @ self.vectors[rows].T
 
     def search(self, query: np.ndarray, own_id: int, k: int, least: int | None) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id) with scores from ``least`` up, and how many inner products were computed."""
-        base = float(query @ query) + float(self.most)
-        far = lambda s: np.sqrt(np.maximum(0.0, base - 2.0 * np.asarray(s, np.float64)))
-        reach = float("inf") if least is None else float(far(least)) * (1 + SLACK) + SLACK
-        scale = np.sqrt(base) * SLACK + SLACK
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        start = float(far(self.scores(np.array([self.root]), query))[0])
-        heap, computed = [(0.0, 0, self.root_node, start)], 1
+        best = Best(1, k, np.array([NONE if least is None else least]))
+        _, scores, ids, computed = self.search_all(query[None], np.array([own_id]), best)
+        turn = np.lexsort((ids, -scores))[:k]
+        return list(zip(scores[turn].tolist(), ids[turn].tolist(), strict=True)), computed
+
+    def search_all(self, queries: np.ndarray, own_ids: np.ndarray, best: Best, rows_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Best-first for a block of queries, which share the visit of a node as far as each may still need it: query number, score and id of
+        what can be among the best, and how many inner products were computed. ``rows_of``: the queries' places in ``best``."""
+        place = np.arange(len(queries)) if rows_of is None else rows_of
+        sq = (queries * queries).sum(1).astype(np.float64) + float(self.most)
+        scale = np.sqrt(sq) * SLACK + SLACK
+
+        def far(s: np.ndarray, who: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, sq[who][:, None] - 2.0 * s.astype(np.float64)))
+
+        def reach(who: np.ndarray) -> np.ndarray:
+            floor = best.floor[place[who]]
+            return np.where(floor == NONE, np.inf, far(floor[:, None], who)[:, 0] * (1 + SLACK) + SLACK) + scale[who]
+
+        everyone, found, computed = np.arange(len(queries)), [], len(queries)
+        start = far(self.scores(np.array([self.root]), queries), everyone)[:, 0]
+        heap, pushed = [(0.0, 0, self.root_node, everyone, np.zeros(len(queries)), start)], 0
         while heap:
-            bound, _, at, d = heapq.heappop(heap)
-            if bound > reach + scale:
-                break
+            _, _, at, who, bound, d = heapq.heappop(heap)
+            limit = reach(who)
+            if not (ok := bound <= limit).all():
+                who, bound, d, limit = who[ok], bound[ok], d[ok], limit[ok]
+            if not len(who):
+                continue
             leaf, rows, radii, apart, children = self.nodes[at]
-            low = np.abs(d - apart)
+            low = np.abs(d[:, None] - apart[None])
             if leaf:
-                rows = rows[low <= reach + scale]
-                rows = rows[self.ids[rows] != own_id]
-                computed += len(rows)
-                for s, i in zip(self.scores(rows, query).tolist(), self.ids[rows].tolist(), strict=True):
-                    if least is not None and s < least:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                if len(best) == k:
-                    reach = min(reach, float(far(best[0][0])))
+                may = (low <= limit[:, None]) & (self.ids[rows][None] != own_ids[who][:, None])
+                if not (used := may.any(0)).all():
+                    rows, may = rows[used], may[:, used]
+                if not len(rows):
+                    continue
+                computed += int(may.sum())
+                s = self.scores(rows, queries[who])
+                may &= s >= best.floor[place[who]][:, None]
+                q, r = np.nonzero(may)
+                if len(q):
+                    found.append((who[q], s[q, r], self.ids[rows[r]]))
+                    own = np.flatnonzero(may.any(1))
+                    best.add(place[who[own]], np.where(may[own], s[own], NONE))
                 continue
-            keep = np.flatnonzero(low - radii <= reach + scale)
-            computed += len(keep)
-            away = far(self.scores(rows[keep], query))
-            for c, dc in zip(keep.tolist(), away.tolist(), strict=True):
-                under = max(bound, dc - radii[c])
-                if under <= reach + scale:
-                    heapq.heappush(heap, (under, len(heap) + computed, children[c], dc))
-        return [(s, -i) for s, i in best], computed
+            may = low - radii[None] <= limit[:, None]
+            computed += int(may.sum())
+            away = far(self.scores(rows, queries[who]), who)
+            for c in np.flatnonzero(may.any(0)).tolist():
+                under = np.maximum(bound, away[:, c] - radii[c])
+                if (ok := may[:, c] & (under <= limit)).any():
+                    pushed += 1
+                    heapq.heappush(heap, (float(under[ok].min()), pushed, children[c], who[ok], under[ok], away[ok, c]))
+        if not found:
+            return (np.empty(0, np.int64),) * 3 + (computed,)
+        q, s, i = (np.concatenate(x) for x in zip(*found, strict=True))
+        ok = s >= best.floor[place[q]]
+        return q[ok], s[ok], i[ok], computed
+
+
+class Best:
+    """The k highest scores that each of a block of queries has met, and the score below which nothing counts (ties do)."""
+
+    def __init__(self, n: int, k: int, least: np.ndarray):
+        self.k, self.top, self.floor = k, np.full((n, k), NONE), least.astype(np.int64).copy()
+
+    def add(self, who: np.ndarray, scores: np.ndarray) -> None:
+        both = np.concatenate([self.top[who], scores], 1)
+        self.top[who] = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
+        self.floor[who] = np.maximum(self.floor[who], self.top[who].min(1))
 
 
 def top_k(vectors: DataFrame, k: int, every: int, key: str = "vec_id", column: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -198,49 +241,59 @@ def top_k(vectors: DataFrame, k: int, every: int, key: str = "vec_id", column: s
     for p, (_, far) in cells.items():
         radius[p] = far
 
+    def packed(b, own):
+        """Ids, vectors and bounds of queries in one binary."""
+        least = [NONE if x is None else x for x in b.column(2).take(own).to_pylist()] if b.num_columns > 2 else [NONE] * len(own)
+        return pickle.dumps((b.column(0).take(own).to_numpy(zero_copy_only=False), matrix(b.column(1).take(own).to_pylist(), dims), np.array(least, np.int64)))
+
     def first(batches):
         for b in batches:
-            far = np.where(np.isinf(radius), np.inf, to_pivots(np.column_stack([v := matrix(b.column(1).to_pylist(), dims), np.zeros(len(v))])))
+            v = matrix(b.column(1).to_pylist(), dims)
+            far = np.where(np.isinf(radius), np.inf, to_pivots(np.column_stack([v, np.zeros(len(v))])))
             pivot = far.argmin(1)
             for p in np.unique(pivot):
-                yield block(b, np.flatnonzero(pivot == p), int(p), 0, [None] * len(b))
+                own = np.flatnonzero(pivot == p)
+                for at in range(0, len(own), TOGETHER):
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([0], pa.int32()), pa.array([packed(b, pa.array(own[at : at + TOGETHER]))], pa.binary())], ["pivot", "page", "queries"])
 
-    def block(b, own, pivot, page, least):
-        held = pickle.dumps([(b.column(0)[i].as_py(), b.column(1)[i].as_py(), least[i]) for i in own.tolist()])
-        return pa.RecordBatch.from_arrays([pa.array([pivot], pa.int32()), pa.array([page], pa.int32()), pa.array([held])], ["pivot", "page", "queries"])
-
-    def rest(batches):
+    def together(batches):
         for b in batches:
-            v = matrix(b.column(1).to_pylist(), dims)
-            far = to_pivots(np.column_stack([v, np.zeros(len(v))]))
-            least = b.column(2).to_pylist()
-            base = (v * v).sum(1).astype(np.float64) + float(most)
-            reach = np.array([np.inf if s is None else np.sqrt(max(0.0, e - 2.0 * s)) for s, e in zip(least, base, strict=True)])
-            may = far - radius[None] <= (reach + np.sqrt(base) * 1e-6 + 1e-3)[:, None]
-            for p, (pages, _) in cells.items():
-                own = np.flatnonzero(may[:, p])
-                for page in range(pages) if len(own) else ():
-                    yield block(b, own, p, page, least)
+            for at in range(0, b.num_rows, TOGETHER):
+                yield pa.RecordBatch.from_arrays([pa.array([packed(b, pa.array(range(at, min(at + TOGETHER, b.num_rows))))], pa.binary())], ["queries"])
 
     def search(batches):
+        # what a block's queries have met in this task's pages so far is a bound in the next ones
+        held: dict[bytes, Best] = {}
+        raw = t = None
         for b in batches:
-            for tree, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t: MTree = pickle.loads(tree)
-                out = []
-                for query_id, v, least in pickle.loads(held):
-                    found, n = t.search(matrix([v], dims)[0], query_id, k, least)
-                    out += [(query_id, i, s, n) for s, i in found]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score", "computed"])
-
-    found = "query_id long, vec_id long, score long, computed long"
-    blocks = "pivot int, page int, queries binary"
-
-    def visit(qs: DataFrame, how) -> DataFrame:
-        return trees.join(qs.mapInArrow(how, blocks), ["pivot", "page"]).select("tree", "queries").mapInArrow(search, found)
-
-    tries = visit(queries, first).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    bounded = stored(queries.join(tries, queries.vec_id == tries.query_id, "left").select("vec_id", "v", "least"), "bounds")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = visit(bounded, rest).select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order))
+            for pivot, tree, block in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if raw is None or not tree.as_buffer().equals(raw):
+                    raw = tree.as_buffer()
+                    t = pickle.loads(raw)
+                ids, v, least = pickle.loads(block.as_buffer())
+                name = hashlib.blake2b(block.as_buffer(), digest_size=16).digest()
+                best = held.setdefault(name, Best(len(ids), k, least))
+                sq = (v * v).sum(1).astype(np.float64)
+                away = np.sqrt(np.maximum(0.0, sq + high_sq[pivot] - 2 * v @ high[pivot, :-1]))
+                reach = np.where(best.floor == NONE, np.inf, np.sqrt(np.maximum(0.0, sq + float(most) - 2.0 * best.floor)))
+                own = np.flatnonzero(away - radius[pivot] <= reach + np.sqrt(sq + float(most)) * 1e-6 + 1e-3)
+                if not len(own):
+                    continue
+                q, s, i, _ = t.search_all(v[own], ids[own], best, own)
+                turn = np.lexsort((i, -s, q))
+                q, s, i = q[turn], s[turn], i[turn]
+                ok = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own[q[ok]]]), pa.array(i[ok]), pa.array(s[ok])], ["query_id", "vec_id", "score"])
+
+    found = "query_id long, vec_id long, score long"
+
+    # Spark can't tell how much the functions above put out and would take it for small, so it is told never to broadcast it
+    tried = trees.join(queries.mapInArrow(first, "pivot int, page int, queries binary").hint("merge"), ["pivot", "page"])
+    tries = tried.select("pivot", "tree", "queries").mapInArrow(search, found)
+    met = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    tries = tries.withColumn("rank", F.row_number().over(met)).where(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    bounded = stored(queries.join(tries.hint("merge"), queries.vec_id == tries.query_id, "left").select("vec_id", "v", "least"), "bounds")
+    blocks = stored(bounded.mapInArrow(together, "queries binary"), "query-blocks")
+    pairs = trees.crossJoin(blocks.hint("shuffle_replicate_nl")).select("pivot", "tree", "queries")
+    ranked = pairs.mapInArrow(search, found).withColumn("rank", F.row_number().over(met))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

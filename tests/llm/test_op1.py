@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepframe.llm.op1_mtree import MTree, top_k
+from stepframe.llm.op1_mtree import NONE, Best, MTree, top_k
 
 
 def brute(rows, k, every):
@@ -59,3 +59,24 @@ def test_large_components_are_whole_or_raise(spark):
     assert got(top_k(df, 3, 1)) == brute(rows, 3, 1)
     with pytest.raises(Exception, match="too long for scores"):
         top_k(spark.createDataFrame([*rows, (4, [1e30, 0.0])], df.schema), 3, 1).count()
+
+
+def test_queries_are_not_broadcast(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(2500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(df, 5, 10)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == brute(rows, 5, 10)
+
+
+def test_a_block_of_queries_finds_what_each_finds_alone():
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.integers(-900, 900, size=(350, 6)), 2, 0)
+    ids = rng.permutation(700)
+    tree = MTree(ids, v, int((v * v).sum(1).max()))
+    best = Best(50, 4, np.array([NONE, 200_000] * 25))
+    q, s, i, _ = tree.search_all(v[:50], ids[:50], best)
+    for n in range(50):
+        want = sorted((-int(x), int(j)) for x, j in zip(v @ v[n], ids, strict=True) if j != ids[n] and (n % 2 == 0 or x >= 200_000))[:4]
+        assert sorted((-int(x), int(j)) for x, j in zip(s[q == n], i[q == n], strict=True))[:4] == want
